@@ -19,3 +19,12 @@ def cut(df: DataFrame) -> DataFrame:
             return df
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input with fewer splits than cores (a few small files, or one big row group). Large tables
+    have more splits than cores and are left as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -19,6 +19,7 @@ from quern.operators.facts import DatasetFacts
 from quern.operators.inference import Inference
 from quern.operators.knn import KnnFill
 from quern.operators.power import fit_lambdas, yeo_johnson
+from quern.operators.profile import ordinal_order
 from quern.operators.quantiles import agg_row, quantiles
 
 MISSING = "Missing"
@@ -106,7 +107,10 @@ class Recipe:
         chosen = getattr(self._override(column), kind)
         return chosen if chosen is not None else RULE_STEPS.get(rule or "")
 
-    def fit(self, df: DataFrame, facts: DatasetFacts, inference: Inference) -> RecipeModel:
+    def fit(self, df: DataFrame, facts: DatasetFacts | None = None, inference: Inference | None = None) -> RecipeModel:
+        """Without facts and inference the overrides alone decide."""
+        facts = facts or DatasetFacts(0, {})
+        inference = inference or Inference({}, [], [], {})
         if self.target is not None and self.target not in df.columns:
             raise ValueError(f"target column {self.target!r} is not in the table")
         recs = inference.recommendations
@@ -307,7 +311,7 @@ class Recipe:
             elif choice == "binary":
                 step.replace[c] = S.code_expression(q(c), S.binary_codes(values, fams[c]), fams[c])
             elif choice in ("ordinal", "sorted"):
-                order = facts.columns[c].ordinal_order if choice == "ordinal" and c in facts.columns else None
+                order = ordinal_order(values) if choice == "ordinal" else None
                 step.replace[c] = S.code_expression(q(c), S.ordinal_codes(values, order, MISSING), fams[c])
             elif choice == "onehot":
                 hot.append(c)

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.names import double, q, text
+from quern.functions.lineage import spread
+from quern.functions.names import q, text
 from quern.functions.text import (
     BOOLEAN_PAIRS, CURRENCY, MISSING_TOKENS, bare_digits, bare_number, case_map, collapse, fold, folded, in_words,
     is_accounting, is_infinite, number_layers, signed_number, strip,
@@ -226,7 +227,7 @@ class RepairPlanner:
         grouped counts combine on the map side."""
         if not texts:
             return {}
-        cells = df.selectExpr(f"stack({len(texts)}, {', '.join(f'{i}, {q(c)}' for i, c in enumerate(texts))}) AS (col, x)")
+        cells = spread(df.select(*[q(c) for c in texts])).selectExpr(f"stack({len(texts)}, {', '.join(f'{i}, {q(c)}' for i, c in enumerate(texts))}) AS (col, x)")
         cells = cells.where("x IS NOT NULL").selectExpr("col", "x", f"{strip('x')} AS s")
         # no placeholder and no yes/no word is longer than 40 bytes
         cells = cells.selectExpr("col", "x", "s", f"CASE WHEN octet_length(s) <= 40 THEN {fold('s')} END AS w",

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.lineage import spread
 from quern.functions.names import q, text
 from quern.functions.types import families
 
@@ -21,7 +22,7 @@ DIGEST = chr(1) + "sha2:"
 
 def _family_counts(df: DataFrame, pairs: list[tuple[int, str]]) -> DataFrame:
     entries = ", ".join(f"{i}, {expr}" for i, expr in pairs)
-    tall = df.selectExpr(f"stack({len(pairs)}, {entries}) AS (col, v)").where("v IS NOT NULL")
+    tall = spread(df).selectExpr(f"stack({len(pairs)}, {entries}) AS (col, v)").where("v IS NOT NULL")
     return tall.groupBy("col", "v").agg(F.count("*").alias("cnt"))
 
 

@@ -17,7 +17,7 @@ from quern.functions.types import as_double, families, infinite_to_null
 from quern.operators import charts, contracts, diff, target
 from quern.operators import profile as P
 from quern.operators import recipe as R
-from quern.operators.facts import categories_df, column_facts_df, histogram_df, pairs_df, small_frame
+from quern.operators.facts import DatasetFacts, categories_df, column_facts_df, histogram_df, pairs_df, small_frame
 from quern.operators.grouped_prep import GroupPipeline, split
 from quern.operators.inference import infer, recommendations_df
 from quern.operators.repair import RepairPlan, RepairPlanner
@@ -200,17 +200,26 @@ _STATS = ("min", "max", "mean", "median", "std", "q25", "q75", "iqr", "skewness"
 
 
 def _numeric_stats(spark, sf, view):
-    f = facts_frame(spark, sf, view).where("has_numeric")
+    f = _numeric_frame(spark, sf, view)
     return rounded(f.select(F.col("name").alias("column"), *_STATS, "is_normal", "zeros", "negatives"), 6, *_STATS)
 
 
+def _numeric(spark, sf, view):
+    return once(spark, ("numeric", sf, view), lambda: DatasetFacts(
+        0, {c.name: c for c in P.numeric_profile(load(spark, sf, view))}))
+
+
+def _numeric_frame(spark, sf, view):
+    return column_facts_df(spark, _numeric(spark, sf, view))
+
+
 QUERIES["prf_08_numeric_stats"] = lambda spark, sf: _numeric_stats(spark, sf, "events_gaps")
 QUERIES["prf_08_numeric_stats_lineitem"] = lambda spark, sf: _numeric_stats(spark, sf, "lineitem")
 
 
 @query("prf_08b_outliers")
 def _(spark, sf):
-    f = facts_frame(spark, sf, "events_gaps").where("has_numeric")
+    f = _numeric_frame(spark, sf, "events_gaps")
     return rounded(f.select(F.col("name").alias("column"), "outliers", "outlier_pct", "extremes", "lower_fence",
                             "upper_fence"), 6, "outlier_pct", "lower_fence", "upper_fence")
 
@@ -233,7 +242,7 @@ def _(spark, sf):
 
 @query("prf_10_histogram")
 def _(spark, sf):
-    h = histogram_df(spark, facts(spark, sf, "events_gaps"))
+    h = histogram_df(spark, _numeric(spark, sf, "events_gaps"))
     return rounded(h.where(F.col("column").isin("user_id", "value", "shifted", "paired"))
                    .select("column", "bin", "lower", "count"), 4, "lower")
 
@@ -273,8 +282,9 @@ def _(spark, sf):
 
 @query("dst_02_exact_duplicates")
 def _(spark, sf):
-    f = facts(spark, sf, "events_dups")
-    return small_frame(spark, [{"duplicate_rows": f.duplicate_rows, "duplicate_pct": round(f.duplicate_pct, 6)}],
+    df = load(spark, sf, "events_dups")
+    n, _ = P.duplicate_counts(df, [])
+    return small_frame(spark, [{"duplicate_rows": n, "duplicate_pct": round(100.0 * n / df.count(), 6)}],
                        [("duplicate_rows", i_), ("duplicate_pct", f_)])
 
 
@@ -286,9 +296,9 @@ def _(spark, sf):
 
 @query("dst_05_pearson_matrix")
 def _(spark, sf):
-    pairs = facts(spark, sf, "lineitem").correlation
-    return small_frame(spark, [{"feature_a": a, "feature_b": b, "correlation": r} for (a, b), r in pairs.items()
-                               if a != b], [("feature_a", s_), ("feature_b", s_), ("correlation", f_)])
+    pairs: dict[tuple[str, str], float] = {}
+    P.numeric_profile(load(spark, sf, "lineitem"), histogram=False, correlation=pairs)
+    return small_frame(spark, [{"feature_a": a, "feature_b": b, "correlation": round(r, 3)} for (a, b), r in pairs.items()], [("feature_a", s_), ("feature_b", s_), ("correlation", f_)])
 
 
 @query("dst_06_high_pairs")
@@ -300,7 +310,8 @@ def _(spark, sf):
 @query("dst_07_cramers_v")
 def _(spark, sf):
     f = facts(spark, sf, "events_gaps")
-    found = P.cramers_v(load(spark, sf, "events_gaps"), P.association_candidates(f.columns))
+    found = P.cramers_v(load(spark, sf, "events_gaps"), P.association_candidates(f.columns),
+                        {c.name: c.unique for c in f.columns.values()})
     return small_frame(spark, [{"feature_a": a, "feature_b": b, "v": round(v, 5)} for a, b, v in found],
                        [("feature_a", s_), ("feature_b", s_), ("v", f_)])
 
@@ -376,12 +387,10 @@ def _none(*columns: str) -> dict[str, R.Override]:
 def _run(spark, sf, view, overrides, columns, deduplicate=False, target_column=None):
     """Fit and run a recipe on the listed columns of a view; columns without an override are left as they are."""
     df = load(spark, sf, view).select(*columns)
-    full = facts(spark, sf, view)
-    inf = inference(spark, sf, view)
     every = {**_none(*columns), **{c: R.Override(**{**vars(R.Override(drop=False, imputation="none", encoding="none",
                                                                      outliers="none", scaling="none")), **o})
                                    for c, o in overrides.items()}}
-    model = R.Recipe(every, deduplicate, target_column).fit(df, full, inf)
+    model = R.Recipe(every, deduplicate, target_column).fit(df)
     return model.transform(df)
 
 
@@ -407,7 +416,9 @@ def _(spark, sf):
 
 @query("rec_04_datetime_features")
 def _(spark, sf):
-    out = _run(spark, sf, "events", {}, ["event_id", "ts"])
+    df = load(spark, sf, "events").select("event_id", "ts")
+    f = P.profile(df, pairs=False, duplicates=False, samples=False)
+    out = R.Recipe(_none("event_id"), False).fit(df, f, infer(spark, f)).transform(df)
     return rounded(out, 9, "ts_sin_month", "ts_cos_month", "ts_sin_hour", "ts_cos_hour")
 
 
@@ -428,8 +439,11 @@ def _(spark, sf):
 
 @query("rec_07b_missing_indicator")
 def _(spark, sf):
-    out = _run(spark, sf, "events_gaps", {"value": {"imputation": "median"}, "paired": {"imputation": "median"}},
-               ["event_id", "value", "paired"])
+    df = load(spark, sf, "events_gaps").select("event_id", "value", "paired")
+    f = P.profile(df, duplicates=False, samples=False)
+    model = R.Recipe(_none("event_id") | {"value": R.Override(imputation="median", outliers="none", scaling="none")},
+                     False).fit(df, f, infer(spark, f))
+    out = model.transform(df)
     return out.select("event_id", "value_was_missing", "paired_was_missing")
 
 
