@@ -311,7 +311,7 @@ class Recipe:
             elif choice == "binary":
                 step.replace[c] = S.code_expression(q(c), S.binary_codes(values, fams[c]), fams[c])
             elif choice in ("ordinal", "sorted"):
-                order = ordinal_order(values) if choice == "ordinal" else None
+                order = ordinal_order([v for v in values if v != MISSING]) if choice == "ordinal" else None
                 step.replace[c] = S.code_expression(q(c), S.ordinal_codes(values, order, MISSING), fams[c])
             elif choice == "onehot":
                 hot.append(c)

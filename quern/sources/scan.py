@@ -20,6 +20,10 @@ WRAPPERS = ("data", "records", "items", "rows")
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
              "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 PROBE_BYTES = 8192
+# cp1252 is read as ISO 8859-1, which Spark accepts; the two differ only in these 32 code points.
+READ_AS = {"cp1252": "iso-8859-1"}
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = "".join(bytes([b]).decode("cp1252", errors="replace").replace(chr(0xFFFD), chr(b)) for b in range(0x80, 0xA0))
 _CORRUPT = "__bad_row__"
 
 
@@ -43,19 +47,18 @@ def detect_encoding(spark: SparkSession, path: str) -> tuple[str, float]:
     are allowed to be incomplete. Only the probe leaves the executors."""
     head = spark.read.format("binaryFile").load(path).selectExpr(
         "length", f"substring(content, 1, {PROBE_BYTES}) AS head").orderBy("length").limit(1)
-    tests = ", ".join(f"is_valid_utf8(substring(head, 1, length(head) - {k}))" for k in range(4))
-    row = head.selectExpr("length", f"{tests.split(', ')[0]} OR (length(head) = {PROBE_BYTES} AND "
-                          f"array_contains(array({tests}), true)) AS ok").first()
+    whole, *cut = [f"is_valid_utf8(substring(head, 1, length(head) - {k}))" for k in range(4)]
+    row = head.selectExpr("length", f"{whole} OR (length(head) = {PROBE_BYTES} AND ({' OR '.join(cut)})) AS ok").first()
     if row is None:
         raise ValueError(f"no file at {path!r}")
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-    return ("utf-8" if row["ok"] else "windows-1252"), round(size / 1024, 2)
+    return ("utf-8" if row["ok"] else "cp1252"), round(size / 1024, 2)
 
 
 def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
     """SRC-2: the candidate that splits every one of the first lines into the same number (> 1) of fields, most fields
     first; else the most frequent candidate; else a comma."""
-    lines = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(10).collect() if r[0]]
+    lines = [r[0] for r in spark.read.option("encoding", READ_AS.get(encoding, encoding)).text(path).limit(10).collect() if r[0]]
     return best_delimiter(lines)
 
 
@@ -77,12 +80,13 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     encoding = encoding or detect_encoding(spark, path)[0]
     delimiter = delimiter or ("\t" if os.path.splitext(path)[1].lower() in (".tsv", ".tab")
                               else sniff_delimiter(spark, path, encoding))
-    reader = (spark.read.option("sep", delimiter).option("encoding", encoding).option("mode", "PERMISSIVE")
+    reader = (spark.read.option("sep", delimiter).option("encoding", READ_AS.get(encoding, encoding)).option("mode", "PERMISSIVE")
               .option("quote", '"').option("escape", '"'))
     header = reader.csv(path).first()
     if header is None:
         raise ValueError(f"{path!r} holds no rows")
-    names = unique_headers([h.lstrip(chr(0xFEFF)) if h else h for h in header])
+    marks = str.maketrans(_C1, _CP1252) if encoding == "cp1252" else {}
+    names = unique_headers([h.lstrip(chr(0xFEFF)).translate(marks) if h else h for h in header])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_CORRUPT, T.StringType())])
     df = (reader.option("header", True).option("enforceSchema", True).schema(schema)
           .option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
@@ -90,12 +94,21 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     mark = text(delimiter)
     bare = f"regexp_replace({_CORRUPT}, '\"([^\"]|\"\")*\"', '')"
     too_long = f"{_CORRUPT} IS NOT NULL AND length({bare}) - length(replace({bare}, {mark}, '')) > {len(names) - 1}"
-    df = df.where(f"NOT ({too_long})").drop(_CORRUPT)
+    # the second test always holds; it keeps a real column in the scan, which Spark requires beside the raw line
+    df = df.where(f"NOT ({too_long}) AND length(coalesce({q(names[0])}, '')) >= 0").drop(_CORRUPT)
+    df = decode(df, encoding)
     listed = ", ".join(text(t) for t in na_tokens)
     df = df.selectExpr(*[f"CASE WHEN {q(n)} NOT IN ({listed}) THEN {q(n)} END AS {q(n)}" for n in names])
     return infer_text_types(df) if infer_types else df
 
 
+def decode(df: DataFrame, encoding: str | None) -> DataFrame:
+    if encoding != "cp1252":
+        return df
+    return df.selectExpr(*[f"translate({q(f.name)}, {text(_C1)}, {text(_CP1252)}) AS {q(f.name)}"
+                           if isinstance(f.dataType, T.StringType) else q(f.name) for f in df.schema.fields])
+
+
 def infer_text_types(df: DataFrame) -> DataFrame:
     """SRC-8: text columns whose every value is a whole number, a number or true/false take that type; dates stay text.
     One grouped aggregate over stacked columns decides for all of them."""
@@ -132,9 +145,10 @@ def flatten(df: DataFrame) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """SRC-4: JSON Lines (split over tasks), a list of records, an object that wraps a list, or one object."""
-    lines = spark.read.option("encoding", encoding).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
+    charset = READ_AS.get(encoding, encoding)
+    lines = spark.read.option("encoding", charset).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
     if _CORRUPT in lines.columns:       # not one record per line: the file is one document
-        df = spark.read.option("multiLine", True).option("encoding", encoding).option(
+        df = spark.read.option("multiLine", True).option("encoding", charset).option(
             "columnNameOfCorruptRecord", _CORRUPT).json(path)
         if _CORRUPT in df.columns:
             raise ValueError(f"{path!r} is neither JSON nor JSON Lines")
@@ -145,7 +159,7 @@ def read_json(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFr
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             df = df.select(F.inline(q(key)))
             break
-    return flatten(df)
+    return decode(flatten(df), encoding)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
