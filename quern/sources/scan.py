@@ -80,7 +80,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     encoding = encoding or detect_encoding(spark, path)[0]
     delimiter = delimiter or ("\t" if os.path.splitext(path)[1].lower() in (".tsv", ".tab")
                               else sniff_delimiter(spark, path, encoding))
-    reader = (spark.read.option("sep", delimiter).option("encoding", READ_AS.get(encoding, encoding)).option("mode", "PERMISSIVE")
+    reader = (spark.read.option("sep", delimiter).option("encoding", READ_AS.get(encoding, encoding)).option("mode", "PERMISSIVE").option("columnPruning", False)
               .option("quote", '"').option("escape", '"'))
     header = reader.csv(path).first()
     if header is None:
