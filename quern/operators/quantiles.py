@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.functions.names import double
 
 EXACT_VALUES = 300_000   # rows x columns that the built-in percentile may hold
-GATHER_VALUES = 8_192      # values of one bracket collected to finish a search
+GATHER_VALUES = 300_000    # values collected in one job to finish searches, over all brackets
 ACCURACY = 1_000
 EXPRESSIONS = 240          # aggregate expressions per job
 
@@ -76,7 +76,7 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, list[float]]], counts:
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, tuple[str, list[int]]], counts: dict[str, int],
-                     gather: int = GATHER_VALUES) -> dict[str, dict[int, float]]:
+                     gather: int | None = None) -> dict[str, dict[int, float]]:
     """Exact values at zero-based ranks of the non-null values of each expression."""
     found: dict[str, dict[int, float]] = {k: {} for k in wanted}
     # one open search per (key, rank): the open interval (low, high), rows below it and rows inside it
@@ -89,15 +89,20 @@ def order_statistics(df: DataFrame, wanted: dict[str, tuple[str, list[int]]], co
         return " AND ".join(tests) or "true"
 
     while searches:
-        ready = {s: v for s, v in searches.items() if v[3] <= gather}
+        share = gather or GATHER_VALUES // len({(k, v[0], v[1]) for (k, _), v in searches.items()}) or 1
+        ready = {s: v for s, v in searches.items() if v[3] <= share}
         brackets = sorted({(k, v[0], v[1]) for (k, _), v in ready.items()}, key=str)
-        if brackets:
-            lists = agg_row(df, [
-                f"sort_array(collect_list(CASE WHEN {inside(*b)} THEN {wanted[b[0]][0]} END))" for b in brackets])
-            values = dict(zip(brackets, lists))
-            for (k, r), (low, high, below, _) in ready.items():
-                found[k][r] = values[(k, low, high)][r - below]
-                del searches[(k, r)]
+        for part in chunks(brackets, EXPRESSIONS):
+            lists = df.agg(*[
+                F.expr(f"sort_array(collect_list(CASE WHEN {inside(*b)} THEN {wanted[b[0]][0]} END))").alias(f"a{i}")
+                for i, b in enumerate(part)])
+            asked = [[(s, s[1] - v[2]) for s, v in ready.items() if (s[0], v[0], v[1]) == b] for b in part]
+            row = lists.selectExpr(*[f"array({', '.join(f'a{i}[{place}]' for _, place in a)}) AS b{i}"
+                                     for i, a in enumerate(asked)]).first()
+            for values, a in zip(row, asked):
+                for ((k, r), _), value in zip(a, values):
+                    found[k][r] = value
+                    del searches[(k, r)]
         if not searches:
             break
         # one sketch per open bracket, however many ranks are searched in it

@@ -157,7 +157,7 @@ def spellings(df: DataFrame, columns: dict[str, str], order_by: str | None = Non
     names = list(columns)
     entries = ", ".join(f"{i}, {columns[c]}" for i, c in enumerate(names))
     source = df.withColumn("__at__", F.col(order_by) if order_by else F.monotonically_increasing_id())
-    tall = source.selectExpr("__at__", f"stack({len(names)}, {entries}) AS (col, raw)").where("raw IS NOT NULL")
+    tall = spread(source).selectExpr("__at__", f"stack({len(names)}, {entries}) AS (col, raw)").where("raw IS NOT NULL")
     seen = (tall.groupBy("col", "raw").agg(F.count("*").alias("cnt"), F.min("__at__").alias("first"))
             .withColumn("spelling", F.expr(collapse("raw")))
             .groupBy("col", "spelling").agg(
@@ -247,6 +247,7 @@ class RepairPlanner:
             "percent": "count_if(v IS NOT NULL AND endswith(s, '%'))",
             "bracketed": f"count_if(v IS NOT NULL AND {is_accounting('s')})",
             "thousands": "count_if(v IS NOT NULL AND contains(b, ','))",
+            "rough": f"approx_count_distinct(CASE WHEN NOT coalesce({plain}, false) THEN xxhash64(s) END, 0.02)",
         }
         words = [w for pair in BOOLEAN_PAIRS for w in pair]
         aggs |= {f"is_{w}": f"count_if(w = {text(w)})" for w in words}
@@ -303,7 +304,8 @@ class RepairPlanner:
         repetitive = self._repetitive(df, exprs, shapes)
         if not repetitive:
             return {}
-        found = spellings(df, {c: exprs[c] for c in repetitive}, self.order_by)
+        # one row per distinct spelling; read twice below
+        found = spellings(df, {c: exprs[c] for c in repetitive}, self.order_by).persist()
         # rows whose text changes: every row of a losing spelling, and untidy rows of a winning one
         totals = found.groupBy("col").agg(
             F.sum(F.expr("CASE WHEN spelling <> best THEN cnt ELSE untidy END")).alias("changed"),
@@ -325,21 +327,22 @@ class RepairPlanner:
                            .select("spelling", F.col("best").alias("label")))
             steps[c].append(Repair("R-QLT-05", c, r["changed"], params,
                                    f"{r['groups']} group(s) of labels differed only by case or spacing"))
+        if not maps:
+            found.unpersist()
         return maps
 
     @staticmethod
     def _repetitive(df: DataFrame, exprs: dict[str, str], shapes: dict) -> list[str]:
-        """Columns with at most one distinct value per two cells. An approximate count settles the clear cases; only
-        columns near the boundary are counted exactly."""
+        """Columns with at most one distinct value per two cells. The approximate count of the first job settles clear
+        cases on long columns; short columns and columns near the boundary are counted exactly."""
         names = list(exprs)
-        rough = agg_row(df, [f"approx_count_distinct({exprs[c]}, 0.02)" for c in names])
         keep, close = [], []
-        for c, d in zip(names, rough):
-            share = d / shapes[c]["present"]
-            if share <= 0.4:
-                keep.append(c)
-            elif share <= 0.6:
+        for c in names:
+            share = shapes[c]["rough"] / shapes[c]["present"]
+            if shapes[c]["present"] < 1_000 or 0.4 < share <= 0.6:
                 close.append(c)
+            elif share <= 0.4:
+                keep.append(c)
         if close:
             entries = ", ".join(f"{i}, xxhash64({exprs[c]}), {exprs[c]} IS NOT NULL" for i, c in enumerate(close))
             tall = df.selectExpr(f"stack({len(close)}, {entries}) AS (col, h, ok)").where("ok")
@@ -390,7 +393,7 @@ class RepairPlanner:
         at = "__row__"
         base = df.withColumn(at, F.col(self.order_by) if self.order_by else F.monotonically_increasing_id())
         raw = [f"cast({q(c)} AS string) AS {q('before ' + str(i))}" for i, c in enumerate(columns)]
-        both = plan.transform(base.selectExpr(at, *[q(c) for c in columns], *raw))
+        both = plan.transform(spread(base).selectExpr(at, *[q(c) for c in columns], *raw))
         entries = ", ".join(f"{i}, {q('before ' + str(i))}, cast({q(c)} AS string)" for i, c in enumerate(columns))
         cells = both.selectExpr(at, f"stack({len(columns)}, {entries}) AS (col, before, after)")
         changed = cells.where("before IS NOT NULL AND NOT (before <=> after)")
