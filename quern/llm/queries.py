@@ -11,11 +11,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.near_dedup import near_duplicates
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
 def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     from quern.llm.substrings import repeated_passages
     return repeated_passages(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op10_repeated_passages": op10_repeated_passages,
 }
