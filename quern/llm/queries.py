@@ -16,6 +16,11 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.decontaminate import contamination
+    return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     from quern.llm.substrings import repeated_passages
     return repeated_passages(_table(spark, folder, "documents"))
@@ -23,5 +28,6 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op6_contamination": op6_contamination,
     "op10_repeated_passages": op10_repeated_passages,
 }
