@@ -16,6 +16,12 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.packing import pack
+    from quern.llm.tokens import tokenizer_path
+    return pack(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op6_contamination(spark: SparkSession, folder: str) -> DataFrame:
     from quern.llm.decontaminate import contamination
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -28,6 +34,7 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op3_packing": op3_packing,
     "op6_contamination": op6_contamination,
     "op10_repeated_passages": op10_repeated_passages,
 }
