@@ -27,6 +27,14 @@ def op6_contamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op9_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from quern.llm.token_counts import section_tokens
+    from quern.llm.tokens import tokenizer_path
+    return section_tokens(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     from quern.llm.substrings import repeated_passages
     return repeated_passages(_table(spark, folder, "documents"))
@@ -36,5 +44,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_packing": op3_packing,
     "op6_contamination": op6_contamination,
+    "op9_section_tokens": op9_section_tokens,
     "op10_repeated_passages": op10_repeated_passages,
 }
