@@ -27,6 +27,11 @@ def op6_contamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_language_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.lm import language_scores
+    return language_scores(_table(spark, folder, "documents"))
+
+
 def op9_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_packing": op3_packing,
     "op6_contamination": op6_contamination,
+    "op7_language_scores": op7_language_scores,
     "op9_section_tokens": op9_section_tokens,
     "op10_repeated_passages": op10_repeated_passages,
 }
