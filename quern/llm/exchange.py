@@ -60,16 +60,22 @@ def blocks(docs: DataFrame, columns: dict[str, str], n: int) -> DataFrame:
     return own.withColumn("block", F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")).repartition(parts, "block")
 
 
-def pack(keys: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of each key."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def unpack(packed: bytes, width: int) -> np.ndarray:
-    low = np.frombuffer(packed, np.uint8).reshape(-1, width)
+def pack(keys: np.ndarray, bits: int) -> bytes:
+    """The 40 bits of each key after the bucket's `bits`. Sorted keys are sent as differences, of 4 bytes where all fit."""
+    rest = keys << _U(bits) >> _U(24)
+    steps = np.diff(rest, prepend=_U(0))
+    if len(steps) and steps.max() >> _U(32):
+        return b"\5" + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return b"\4" + steps.astype("<u4").tobytes()
+
+
+def unpack(packed: pa.Buffer) -> np.ndarray:
+    if memoryview(packed)[0] == 4:
+        return np.cumsum(np.frombuffer(packed, "<u4", offset=1), dtype=np.uint64)
+    low = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, 5)
     full = np.zeros((len(low), 8), np.uint8)
-    full[:, :width] = low
-    return full.view("<u8").ravel()
+    full[:, :5] = low
+    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
 
 
 class Distinct:
@@ -78,7 +84,8 @@ class Distinct:
     `other`: an independent hash that names the bucket and so adds its bits to the key; else the high bits of the hash."""
 
     def __init__(self, hashes: np.ndarray, n_buckets: int, other: np.ndarray | None = None) -> None:
-        shift = _U(64 - (n_buckets - 1).bit_length())
+        self.bits = (n_buckets - 1).bit_length()
+        shift = _U(64 - self.bits)
         named = hashes if other is None else other
         bucket = (named >> shift if n_buckets > 1 else np.zeros(len(hashes), np.uint64)).astype(np.int32)
         order = np.argsort(hashes) if other is None else np.lexsort((hashes, bucket))
@@ -98,8 +105,9 @@ class Distinct:
     def total(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values[self.order], self.first) if len(self.first) else np.zeros(0, values.dtype)
 
-    def questions(self, block: int, width: int, extra: np.ndarray | None = None) -> pa.Table:
-        rows = [(block, k, pack(self.keys[a:b], width), b"" if extra is None else extra[a:b].tobytes())
+    def questions(self, block: int, extra: np.ndarray, whole: bool = False) -> pa.Table:
+        """`whole`: with all 64 bits of the keys."""
+        rows = [(block, k, self.keys[a:b].tobytes() if whole else pack(self.keys[a:b], self.bits), extra[a:b].tobytes())
                 for k, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)) if b > a]
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(
             (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "keys", "extra"])
@@ -112,15 +120,15 @@ class Distinct:
         return out
 
 
-def answerer(width: int, extra: type | None, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+def answerer(extra: type, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], whole: bool = False
              ) -> Callable[[pa.Table], pa.Table]:
     """For one bucket: `decide(order, first, values)` gets the entries sorted by key, where each key begins, and the
     extras in the sent order; it returns an answer for each key."""
     def answer(table: pa.Table) -> pa.Table:
-        parts = [unpack(p.as_buffer(), width) for p in table["keys"]]
+        parts = [np.frombuffer(p.as_buffer(), np.uint64) if whole else unpack(p.as_buffer()) for p in table["keys"]]
         ends = np.cumsum([0] + [len(p) for p in parts])
         keys = np.concatenate(parts)
-        values = np.concatenate([np.frombuffer(p.as_buffer(), extra) for p in table["extra"]]) if extra else keys
+        values = np.concatenate([np.frombuffer(p.as_buffer(), extra) for p in table["extra"]])
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.ones(len(keys), bool)

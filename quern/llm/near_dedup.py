@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         hashes, at = _shingles(table["text"], size)
         found = X.Distinct(hashes, n_buckets)
         n = _documents(found, np.repeat(np.arange(len(at) - 1), np.diff(at)))
-        return found.questions(table["block"][0].as_py(), 5, n.astype(np.uint32))
+        return found.questions(table["block"][0].as_py(), n.astype(np.uint32))
 
     def decide(order, first, values):
         df = np.add.reduceat(values[order].astype(np.int64), first)
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table([ids, *(pa.array(c, t) for c, t in zip(out, types[1:], strict=True))], names=names)
 
     answers = (dealt.groupBy("block").applyInArrow(ask, X.QUESTION)
-               .groupBy("bucket").applyInArrow(X.answerer(5, np.uint32, decide), X.ANSWER))
+               .groupBy("bucket").applyInArrow(X.answerer(np.uint32, decide), X.ANSWER))
     every = X.cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         weigh, f"doc_id {kind.simpleString()}, vector binary, weight double, keys binary, codes binary, times binary"))
     vectors = X.cut(every.where("keys is not null").groupBy("vector").agg(

@@ -58,7 +58,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         *_, at, begin, found = _anchors(table["text"], size, n_buckets)
         own = np.repeat(at[:-1], np.diff(at))[begin]
         index = found.any((begin - own) % size == 0)
-        return found.questions(table["block"][0].as_py(), 5, (index * 2 + (found.count > 1)).astype(np.uint8))
+        return found.questions(table["block"][0].as_py(), (index * 2 + (found.count > 1)).astype(np.uint8))
 
     def decide_anchors(order, first, values):
         occurs = np.add.reduceat(1 + (values[order] & 1), first)
@@ -67,12 +67,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     def ask_windows(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return X.Distinct(np.zeros(0, np.uint64), n_buckets).questions(0, 8)
+            return X.Distinct(np.zeros(0, np.uint64), n_buckets).questions(0, np.zeros(0, np.uint8), whole=True)
         _, hashes, _, _, at, begin, found = _anchors(table["text"], size, n_buckets)
         near = _candidates(hashes, at, begin, found, reply, size, window)
         full = X.Distinct(Windows(hashes).of(near, near + window), n_buckets,
                           Windows(hashes, second=True).of(near, near + window))
-        return full.questions(table["block"][0].as_py(), 8, (full.count > 1).astype(np.uint8))
+        return full.questions(table["block"][0].as_py(), (full.count > 1).astype(np.uint8), whole=True)
 
     def decide_windows(order, first, values):
         return (np.add.reduceat(1 + values[order], first) > 1).astype(np.uint8)
@@ -110,8 +110,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     fields += [("kept_text", pa.string())] if keep_text else []
     schema = f"doc_id {kind.simpleString()}, {RESULT}" + (", kept_text string" if keep_text else "")
     anchors = (dealt.groupBy("block").applyInArrow(ask_anchors, X.QUESTION)
-               .groupBy("bucket").applyInArrow(X.answerer(5, np.uint8, decide_anchors), X.ANSWER))
+               .groupBy("bucket").applyInArrow(X.answerer(np.uint8, decide_anchors), X.ANSWER))
     repeats = (dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask_windows, X.QUESTION)
-               .groupBy("bucket").applyInArrow(X.answerer(8, np.uint8, decide_windows), X.ANSWER))
+               .groupBy("bucket").applyInArrow(X.answerer(np.uint8, decide_windows, whole=True), X.ANSWER))
     replies = anchors.withColumn("stage", F.lit(1)).unionByName(repeats.withColumn("stage", F.lit(2)))
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
