@@ -32,6 +32,11 @@ def op7_language_scores(spark: SparkSession, folder: str) -> DataFrame:
     return language_scores(_table(spark, folder, "documents"))
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.html import main_text
+    return main_text(_table(spark, folder, "pages"))
+
+
 def op9_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op6_contamination": op6_contamination,
     "op7_language_scores": op7_language_scores,
+    "op8_main_text": op8_main_text,
     "op9_section_tokens": op9_section_tokens,
     "op10_repeated_passages": op10_repeated_passages,
 }
