@@ -16,6 +16,11 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.quality import quality_facts
+    return quality_facts(_table(spark, folder, "documents"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     from quern.llm.packing import pack
     from quern.llm.tokens import tokenizer_path
@@ -52,6 +57,7 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op6_contamination": op6_contamination,
     "op7_language_scores": op7_language_scores,
