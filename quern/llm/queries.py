@@ -27,6 +27,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.secrets import secret_findings
+    return secret_findings(_table(spark, folder, "documents"))
+
+
 def op6_contamination(spark: SparkSession, folder: str) -> DataFrame:
     from quern.llm.decontaminate import contamination
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_secrets": op4_secrets,
     "op6_contamination": op6_contamination,
     "op7_language_scores": op7_language_scores,
     "op8_main_text": op8_main_text,
