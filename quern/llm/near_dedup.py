@@ -270,11 +270,20 @@ def _products(left: list[dict], right: list[dict], n_docs: int) -> np.ndarray:
     return shared / (totals[0][:, None] + totals[1][None, :] - shared)
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """`docs` without all but one document of each class: the one with the smallest id. Rows whose id is NULL stay unless
-    their class has an id. Rows that repeat the kept id and text stay once."""
-    found = near_duplicates(docs, doc_id, **options)
-    gone = (found.where(F.col("doc_id").isNull() & F.col("class_id").isNotNull() | (F.col("doc_id") != F.col("class_id")))
-            .select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
-    kept = docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
-    return kept.dropDuplicates()
+MAX_BROADCAST = 1_000_000  # keys of removed rows sent to all; more are joined by shuffle
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """`docs` with one row of each class. Rows are told apart by their id and the digest of their text, so an id may be NULL or
+    repeat; rows that agree in both stay once. Texts without words stay."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    ident, words_ = F.col(f"`{doc_id}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+    keyed = docs.withColumn(key, F.concat(F.coalesce(F.concat(ident, F.lit("=")), F.lit("")), words_))
+    found = X.cut(near_duplicates(keyed, key, text, **options))
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
+    if found.count() > found.select("doc_id").distinct().count():
+        keyed = keyed.dropDuplicates([key])
+    small = gone.count() <= MAX_BROADCAST
+    return keyed.join(F.broadcast(gone) if small else gone, F.col(key) == F.col("gone"), "left_anti").drop(key)

@@ -32,6 +32,11 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_findings(_table(spark, folder, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.pii import personal_data
+    return personal_data(_table(spark, folder, "documents"))
+
+
 def op6_contamination(spark: SparkSession, folder: str) -> DataFrame:
     from quern.llm.decontaminate import contamination
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -60,14 +65,21 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op5_personal_data": op5_personal_data,
     "op6_contamination": op6_contamination,
     "op7_language_scores": op7_language_scores,
     "op8_main_text": op8_main_text,
     "op9_section_tokens": op9_section_tokens,
     "op10_repeated_passages": op10_repeated_passages,
+    "pipeline": pipeline,
 }
