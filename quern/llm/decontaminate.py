@@ -249,5 +249,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", *
     while key in docs.columns:
         key += "_"
     keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
-    found = contamination(keyed, benchmark, key, text, **options).where("contaminated").select(F.col("doc_id").alias("hit"))
-    return keyed.join(found.distinct(), F.col(key) == F.col("hit"), "left_anti").drop(key)
+    found = contamination(keyed, benchmark, key, text, **options).where("contaminated").select(F.col("doc_id").alias(key))
+    return keyed.join(found.distinct(), key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -282,8 +282,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     ident, words_ = F.col(f"`{doc_id}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
     keyed = docs.withColumn(key, F.concat(F.coalesce(F.concat(ident, F.lit("=")), F.lit("")), words_))
     found = X.cut(near_duplicates(keyed, key, text, **options))
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
     if found.count() > found.select("doc_id").distinct().count():
         keyed = keyed.dropDuplicates([key])
     small = gone.count() <= MAX_BROADCAST
-    return keyed.join(F.broadcast(gone) if small else gone, F.col(key) == F.col("gone"), "left_anti").drop(key)
+    return keyed.join(F.broadcast(gone) if small else gone, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
