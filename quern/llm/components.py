@@ -9,25 +9,23 @@ from quern.llm.exchange import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component: for every node of links (a, b) the least node of its component.
+    """node, component: for every node of links (a, b) one node of its component, the same for all of them.
 
-    In each round a node joins the neighbour, or itself, that is first in an order drawn anew for the round, and then that
-    neighbour's choice; links are redrawn between what is left. Random orders remove a constant share of the nodes a round
-    whatever the graph, chains included. A hub is one row per link, joined and pre-aggregated like any other."""
-    edges = cut(links.select("a", "b").where("a <> b").distinct())
-    named = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
-    turn = 0
+    In each round a node joins the first of its neighbours and itself in an order drawn by hash, and links are redrawn between
+    what is left. A star is gone after two rounds, and the falling runs of a chain in a drawn order are short. A hub is one row
+    per link, joined and pre-aggregated like any other. The rounds' steps are put together at the end."""
+    edges, steps = cut(links.select("a", "b").where("a <> b").distinct()), []
     while not edges.isEmpty():
-        turn += 1
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("drawn"), F.col(c).alias("node"))  # noqa: B023, E731
         both = edges.union(edges.select("b", "a"))
+        order = lambda c: F.struct(F.xxhash64(c).alias("drawn"), F.col(c).alias("node"))
         first = both.groupBy("a").agg(F.min(order("b")).alias("best"))
-        step = cut(first.select(F.col("a").alias("at"), F.least("best", order("a"))["node"].alias("to")))
-        jumped = cut(step.alias("s").join(step.alias("n"), F.col("s.to") == F.col("n.at")).select(F.col("s.at").alias("at"), F.col("n.to").alias("to")))
-        named = cut(named.join(jumped, F.col("component") == F.col("at"), "left")
-                    .select("node", F.coalesce("to", "component").alias("component")))
-        edges = cut(edges.join(jumped, F.col("a") == F.col("at")).select(F.col("to").alias("a"), "b")
-                    .join(jumped, F.col("b") == F.col("at")).select("a", F.col("to").alias("b"))
+        steps.append(cut(first.select(F.col("a").alias("at"), F.least("best", order("a"))["node"].alias("to"))))
+        edges = cut(edges.join(steps[-1], F.col("a") == F.col("at")).select(F.col("to").alias("a"), "b")
+                    .join(steps[-1], F.col("b") == F.col("at")).select("a", F.col("to").alias("b"))
                     .where("a <> b").distinct())
-    least = named.groupBy("component").agg(F.min("node").alias("least"))
-    return named.join(least, "component").select("node", F.col("least").alias("component"))
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    named = steps[0].select(F.col("at").alias("node"), F.col("to").alias("component"))
+    for step in steps[1:]:
+        named = named.join(step, F.col("component") == F.col("at"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut(named)

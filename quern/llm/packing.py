@@ -63,7 +63,7 @@ class Plan:
 
     def __init__(self, totals: np.ndarray, sequence: int, shares: np.ndarray) -> None:
         tokens = int(totals.sum())
-        self.sequence, windows = sequence, -(-tokens // sequence)
+        self.sequence, self.shares, windows = sequence, shares, -(-tokens // sequence)
         self.stretch = max(STRETCH, -(-windows // MAX_STRETCHES))
         capacities = np.full(max(1, -(-windows // self.stretch)), self.stretch * sequence, np.int64)
         capacities[-1] = tokens - int(capacities[:-1].sum())
@@ -76,7 +76,7 @@ class Plan:
         tokens = int(totals.sum())
         capacities = np.full(-(-tokens // self.sequence), self.sequence, np.int64)
         capacities[-1] = tokens - int(capacities[:-1].sum())
-        take = deal(totals, capacities, totals.astype(float))
+        take = deal(totals, capacities, self.shares)
         at = self.edges[k] + np.concatenate((np.zeros((1, len(totals)), np.int64), np.cumsum(take, axis=0)))
         return at, np.cumsum(take, axis=1) - take
 

@@ -90,7 +90,7 @@ MORE = (
     Rule("exclamations", lambda t, w, f: _count(t, "!") * 2 > F.size(w), _chars(8)),
     Rule("digits", lambda t, w, f: _count(t, "0-9") * 10 > _fact(f, "word_chars", word_characters(w)) * 3, _chars(8)),
     Rule("repeated lines", lambda t, w, f: _fact(f, "n_dup_lines", repeated_lines(t)) * 2 > F.size(_lines(t)), _chars(6)),
-    Rule("word length", lambda t, w, f: ~(_fact(f, "word_chars", word_characters(w)) / F.size(w)).between(2, 15), _chars(4)),
+    Rule("word length", lambda t, w, f: ~_fact(f, "word_chars", word_characters(w)).between(2 * F.size(w), 15 * F.size(w)), _chars(4)),
 )
 
 
