@@ -238,10 +238,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = X.cut(left.unionByName(right).groupBy("band", "i", "j").applyInArrow(products, "a binary, b binary"))
     joined = named.select(F.col("vector").alias("node"), "component").distinct()
     if not more.isEmpty():  # these links are between components
-        between = more.join(joined.withColumnsRenamed({"node": "a", "component": "x"}), "a").join(
-            joined.withColumnsRenamed({"node": "b", "component": "y"}), "b")
+        between = more.join(joined.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(
+            joined.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
         merged = components(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        joined = joined.join(merged.withColumnsRenamed({"node": "component", "component": "to"}), "component", "left").select(
+        joined = joined.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
             "node", F.coalesce("to", "component").alias("component"))
 
     classes = (every.where("vector is not null").groupBy("vector").agg(F.min("doc_id").alias("least"))
