@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.ship import ship
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20  # of text for each bucket
 QUESTION = "block int, bucket int, keys binary, extra binary"
 ANSWER = "block int, bucket int, answer binary"

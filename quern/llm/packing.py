@@ -21,6 +21,7 @@ from quern.llm.tokens import WordEncoder
 MAX_QUEUES = 1024  # sources beyond that many share queues by hash
 MAX_STRETCHES = 4096
 STRETCH = 1024  # sequences at least in each stretch
+BATCH_IDS = 500_000  # ids handed on at once
 MAX_BROADCAST = 500_000  # rows of queue starts sent to all; more are joined by shuffle
 PIECES = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -139,8 +140,19 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = sent.value
         cuts = lru_cache(16)(plan.cuts)
+        names_ = ["doc_id", *_NAMES, *(["ids"] if keep_ids else [])]
+
+        def pieces(out: list[list]) -> pa.RecordBatch:
+            arrays = [pa.array(out[0], id_type), *(pa.array(c, pa.int64()) for c in out[1:7])]
+            if keep_ids:
+                flat = np.concatenate(out[7]) if out[7] else np.zeros(0, np.int32)
+                ends = np.cumsum([0] + [len(p) for p in out[7]]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            return pa.RecordBatch.from_arrays(arrays, names=names_)
+
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
+            held = 0
             for row in zip(*(batch[c] for c in ("doc_id", "queue", "ids", "width")), batch["n"].to_pylist(),
                            batch["begin"].to_pylist(), batch["base"].to_pylist(), strict=True):
                 doc, queue, packed, width, n, begin, base = row
@@ -160,9 +172,11 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     if keep_ids:
                         out[7].append(ids[at:stop].astype(np.int32))
                     at = stop
-            arrays = [pa.array(out[0], id_type), *(pa.array(c, pa.int64()) for c in out[1:7])]
-            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(out[7], pa.list_(pa.int32()))] if keep_ids else []),
-                                             names=["doc_id", *_NAMES, *(["ids"] if keep_ids else [])])
+                held += n
+                if keep_ids and held >= BATCH_IDS:
+                    yield pieces(out)
+                    out, held = [[] for _ in range(8)], 0
+            yield pieces(out)
 
     small = sums.count() <= MAX_BROADCAST
     starts = starts.withColumnRenamed("part", "p").withColumnRenamed("queue", "q")

@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from quern.llm.words import buffer, words
 
-CACHE = 300_000  # words, and parts of words, whose ids a worker remembers
+CACHE = 200_000  # words, and parts of words, whose ids a worker remembers
 # The pre-tokenizer whose parts are known here: letters, single digits and the rest, but for contractions with "'".
 KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[!-&(-~\xdf-\xf6\xf8-\xff]+")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 21  # bytes looked at together; a longer piece is taken only for a single longer word
+PIECE = 1 << 19  # bytes looked at together; a longer piece is taken only for a single longer word
 _U = np.uint64
 _BASE, _WORD_BASE, _SECOND_BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA24BAED4963EE407)
 
@@ -37,7 +37,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if self.up is None or len(self.up) < n:
-            ones = np.ones(max(n, PIECE + 4096), np.uint64)
+            ones = np.ones(n + PIECE // 2, np.uint64)
             self.up, self.down = ones.copy(), ones
             self.up[1:], self.down[1:] = self.base, self.inverse
             np.cumprod(self.up, out=self.up)
