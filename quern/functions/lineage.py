@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -21,23 +19,3 @@ def cut(df: DataFrame) -> DataFrame:
             return df
         sc.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a scan with fewer splits than cores (a few small files, or one big row group). Large tables
-    have more splits than cores and are left as they are. So is a plan with a shuffle or a cache in it: its rows are
-    spread already, and asking for its partitions would run it."""
-    if df.isStreaming:
-        return df
-    plan = _plan(df)
-    if "AdaptiveSparkPlan" in plan or "InMemoryTableScan" in plan:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def _plan(df: DataFrame) -> str:
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        df.explain()
-    return out.getvalue()

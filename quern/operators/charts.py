@@ -22,7 +22,9 @@ def hash_order(row_id: str, seed: int = SEED) -> str:
 
 
 def _number(c: str, fam: str) -> str:
-    return f"try_cast({q(c)} AS double)" if fam == "text" else as_double(c, fam)
+    """A column as double; text that is no number, NaN and infinities are NULL."""
+    x = f"try_cast({q(c)} AS double)" if fam == "text" else as_double(c, fam)
+    return f"nullif(nullif(nullif({x}, double('NaN')), double('Infinity')), double('-Infinity'))"
 
 
 def scatter_points(df: DataFrame, x: str, y: str, hue: str | None = None, row_id: str | None = None,

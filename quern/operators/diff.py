@@ -20,10 +20,17 @@ def _nullish(x: str, fam: str) -> str:
 
 def cell_status(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
     """DIF-1: (key, column, status) for every cell of the cleaned table: new, imputed, modified or normal. One join on
-    the key; the cells are a stack of literal comparisons, so nothing else is shuffled."""
+    the key; the cells are a stack of literal comparisons, so nothing else is shuffled.
+
+    Every row of the cleaned table is kept: one whose key the raw table lacks is new in all its cells, and a NULL key
+    matches a NULL key. Keys must be unique in the raw table, else a row would have several pasts."""
     old, new = families(raw), families(cleaned)
-    before = raw.selectExpr(f"{q(key)} AS __key", *[f"{q(c)} AS {q('raw.' + c)}" for c in raw.columns if c in new])
-    after = cleaned.withColumnRenamed(key, "__key") if key in cleaned.columns else cleaned
+    repeated = raw.groupBy(q(key)).count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"key {key!r} is not unique in the raw table, e.g. {repeated[0][0]!r}")
+    before = raw.selectExpr(f"{q(key)} AS __raw_key", "true AS __known",
+                            *[f"{q(c)} AS {q('raw.' + c)}" for c in raw.columns if c in new])
+    after = cleaned.withColumnRenamed(key, "__key")
     entries = []
     columns = [c for c in cleaned.columns if c != key]
     number = ("integer", "real")
@@ -37,10 +44,10 @@ def cell_status(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
             changed = f"coalesce(abs(cast({b} AS double) - cast({x} AS double)) > 0.0001, true)"
         else:
             changed = f"NOT (cast({b} AS string) <=> cast({x} AS string))"
-        entries.append(f"{text(c)}, CASE WHEN {_nullish(b, old[c])} THEN "
+        entries.append(f"{text(c)}, CASE WHEN __known IS NULL THEN 'new' WHEN {_nullish(b, old[c])} THEN "
                        f"CASE WHEN {_nullish(x, new[c])} THEN 'normal' ELSE 'imputed' END "
                        f"WHEN {changed} THEN 'modified' ELSE 'normal' END")
-    joined = after.join(before, "__key")
+    joined = after.join(before, F.col("__key").eqNullSafe(F.col("__raw_key")), "left")
     return joined.selectExpr("__key AS row_key", f"stack({len(columns)}, {', '.join(entries)}) AS (column, status)")
 
 

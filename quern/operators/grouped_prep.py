@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.names import double, q, take_name, text
@@ -35,35 +35,33 @@ class Groups:
     passthrough: list[str] = field(default_factory=list)
 
 
+def _number(f) -> bool:
+    return f.semantic.startswith("numerical")
+
+
+# PIP-1: a column belongs to the first group whose test it passes. Numbers go by the transform they were recommended, then by
+# how far they are from a bell; categories by how many values they have and whether these have an order.
+GROUP_TESTS = (
+    ("passthrough", lambda f, r: r is None),
+    ("drop", lambda f, r: r.should_drop),
+    ("datetime", lambda f, r: f.semantic == "datetime"),
+    ("binary", lambda f, r: f.semantic == "boolean" or f.is_binary or r.encoding == "encode_binary"),
+    ("log1p", lambda f, r: _number(f) and "transform_log1p" in r.scaling),
+    ("skewed", lambda f, r: _number(f) and f.has_numeric and max(abs(f.skewness) / 0.8, f.outlier_pct / 2.0) >= 1),
+    ("gaussian", lambda f, r: _number(f)),
+    ("high_card", lambda f, r: r.encoding == "encode_frequency_or_target" or (f.semantic.startswith("categorical") and f.unique > 10)),
+    ("ordinal", lambda f, r: f.semantic == "categorical_ordinal"),
+    ("passthrough", lambda f, r: f.semantic == "free_text"),
+    ("onehot", lambda f, r: True),
+)
+
+
 def group_columns(facts: DatasetFacts, inference: Inference, target: str | None = None) -> Groups:
     g = Groups()
-    for c, f in facts.columns.items():
-        if c == target:
-            continue
-        rec = inference.recommendations.get(c)
-        if rec is None:
-            g.passthrough.append(c)
-        elif rec.should_drop:
-            g.drop.append(c)
-        elif f.semantic == "datetime":
-            g.datetime.append(c)
-        elif rec.encoding == "encode_binary" or f.semantic == "boolean" or f.is_binary:
-            g.binary.append(c)
-        elif f.semantic.startswith("numerical"):
-            if "transform_log1p" in rec.scaling:
-                g.log1p.append(c)
-            elif f.has_numeric and (abs(f.skewness) >= 0.8 or f.outlier_pct >= 2.0):
-                g.skewed.append(c)
-            else:
-                g.gaussian.append(c)
-        elif rec.encoding == "encode_frequency_or_target" or (f.semantic.startswith("categorical") and f.unique > 10):
-            g.high_card.append(c)
-        elif f.semantic == "categorical_ordinal":
-            g.ordinal.append(c)
-        elif f.semantic == "free_text":
-            g.passthrough.append(c)
-        else:
-            g.onehot.append(c)
+    for name, f in facts.columns.items():
+        if name != target:
+            rec = inference.recommendations.get(name)
+            getattr(g, next(group for group, test in GROUP_TESTS if test(f, rec))).append(name)
     return g
 
 
@@ -129,12 +127,21 @@ class GroupPipeline:
 
         fams = families(train)
         coded = of(g.binary) + of(g.ordinal) + of(g.onehot) + of(g.high_card)
+        def share(c: str) -> None:
+            piece = S.frequency(train, c, totals[c], seen[c][1], fams[c])
+            if isinstance(piece, S.Projection):
+                last.replace.update(piece.replace)
+            else:
+                model.add(piece, train)
+
         seen = S.distinct_values(train, coded, S.LITERAL_VALUES)
         totals = dict(zip(coded, agg_row(train, [f"count({q(c)})" for c in coded])))
         last = S.Projection()
         for c in of(g.binary):
-            values = seen[c][1]
-            if len(values) <= 2:
+            n, values = seen[c]
+            if n > S.ONE_HOT_VALUES:
+                share(c)
+            elif n <= 2:
                 # the first sorted value is 0; anything else, seen or not, follows the one-indicator convention
                 second = f"{q(c)} = {S.sql_value(values[1], fams[c])}" if len(values) == 2 else "false"
                 last.replace[c] = f"cast(coalesce({second}, false) AS int)"
@@ -142,28 +149,32 @@ class GroupPipeline:
                 last.add += S.one_hot(c, [""] + values, fams[c], taken)
                 last.drop.add(c)
         for c in of(g.ordinal):
+            if seen[c][0] > S.LITERAL_VALUES:
+                model.add(S.ranked_codes(train, c, fams[c]), train)
+                continue
             codes = S.ordinal_codes(seen[c][1], self.facts.columns[c].ordinal_order, MISSING)
             last.replace[c] = S.code_expression(q(c), codes, fams[c], "-1")
         for c in of(g.onehot):
+            if seen[c][0] > S.ONE_HOT_VALUES:   # that many columns help nobody; the shares keep the column's information
+                share(c)
+                continue
             last.add += S.one_hot(c, seen[c][1], fams[c], taken)
             last.drop.add(c)
         for c in of(g.high_card):
-            piece = S.frequency(train, c, totals[c], seen[c][1], fams[c])
-            if isinstance(piece, S.Projection):
-                last.replace.update(piece.replace)
-            else:
-                model.add(piece, train)
+            share(c)
         model.add(last, train)
         return model
 
     def clean_and_transform(self, df: DataFrame, test_size: float = 0.2, seed: int = 42, row_id: str | None = None):
         """With a target: (X_train, X_test, model), target kept as last column; without: (X, None, model)."""
-        ready = self.prepare(df)
+        ready = self.prepare(df).persist()   # the split and the fit read it in many passes
         if self.target is None or self.target not in ready.columns:
             model = self.fit(ready)
+            ready.unpersist()
             return model.transform(ready), None, model
-        train, test = split(ready.where(f"{q(self.target)} IS NOT NULL"), self.target, test_size, seed, row_id)
+        train, test = split(ready, self.target, test_size, seed, row_id)
         model = self.fit(train)
+        ready.unpersist()
         return model.transform(train), model.transform(test), model
 
 
@@ -201,34 +212,67 @@ def class_quotas(counts: dict, n: int, n_test: int) -> dict:
 
 def split(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42, row_id: str | None = None
           ) -> tuple[DataFrame, DataFrame]:
-    """PIP-3: ceil(n x test_size) test rows, stratified by class where the classes allow it.
+    """PIP-3: ceil(n x test_size) test rows, stratified by class where the classes allow it. Rows without a target are left
+    out of both parts.
 
-    A row's place depends on a seeded hash of its identity (`row_id`, else all its columns), so the split does not
-    depend on partitions and survives recomputation. The quota of a class is met by the exact order statistic of the
-    hash, found by aggregation; no class is sorted or numbered in one task."""
+    A row's place depends on a seeded hash of its identity (`row_id`, else all its columns with a number for each copy), so
+    the split does not depend on partitions and survives recomputation. Small numbers of classes meet their quotas by an
+    exact order statistic of the hash. Beyond LISTED_CLASSES the quotas are a table with a row per class: each class is
+    ordered by its hash in windows, and the classes are as many as the rows that make them heavy are few."""
+    df = df.where(f"{q(target)} IS NOT NULL")
     fams = families(df)
     ident = q(row_id) if row_id else "to_json(struct(*))"
-    hashed = df.withColumn("__h", F.expr(hash_order(ident, seed)))
-    n, classes = agg_row(hashed, ["count(*)", f"approx_count_distinct({q(target)})"])
-    n_test = math.ceil(n * test_size)
+    hashed = df.withColumn("__i", F.expr(ident))
+    if row_id is None:   # equal rows must not share a hash; only repeated rows are numbered
+        copies = F.row_number().over(Window.partitionBy("__i").orderBy("__i"))
+        hashed = hashed.withColumn("__i", F.concat("__i", F.lit("#"), copies.cast("string")))
+    hashed = hashed.withColumn("__h", F.expr(hash_order("__i", seed))).drop("__i")
     y = f"cast({q(target)} AS string)"
+    n, classes = agg_row(hashed, ["count(*)", f"count(DISTINCT {y})"])
+    n_test = math.ceil(n * test_size)
     numeric = fams[target] in ("integer", "real", "boolean")
-    counts: dict[str, int] = {}
-    if not numeric or classes <= 25:
-        found = hashed.groupBy(F.expr(y).alias("y")).count().orderBy(F.desc("count")).limit(2001).collect()
-        counts = {r["y"]: r["count"] for r in found}
-    stratify = (bool(counts) and len(counts) <= 2000 and (not numeric or len(counts) <= 20)
-                and min(counts.values()) >= 2 and n_test >= len(counts) and n - n_test >= len(counts))
-    if not stratify:
-        counts = {"": n}
-    quotas = {k: v for k, v in class_quotas(counts, n, n_test).items() if v}
+    counts: dict[str, int] = {"": n}
+    stratify = 0 < classes <= min(n_test, n - n_test) and (not numeric or classes <= 20)
+    if stratify and classes > LISTED_CLASSES:
+        return _split_many(hashed, y, n, n_test)
+    if stratify:
+        found = {r["y"]: r["count"] for r in hashed.groupBy(F.expr(y).alias("y")).count().collect()}
+        stratify = min(found.values()) >= 2
+        counts = found if stratify else counts
+    quotas = {k: v for k, v in class_quotas(counts, n, n_test).items() if v} if n else {}
     view = lambda k: f"CASE WHEN {y} = {text(k)} THEN cast(__h AS double) END" if stratify else "cast(__h AS double)"
-    keys = list(quotas)
-    limits = order_statistics(hashed, {k: (view(k), [quotas[k] - 1]) for k in keys}, {k: counts[k] for k in keys})
-    arms = {k: double(limits[k][quotas[k] - 1]) for k in keys}
+    limits = order_statistics(hashed, {k: (view(k), [v - 1]) for k, v in quotas.items()}, {k: counts[k] for k in quotas})
+    arms = {k: double(limits[k][quotas[k] - 1]) for k in quotas}
     if stratify:
         limit = "CASE " + y + " " + " ".join(f"WHEN {text(k)} THEN {v}" for k, v in arms.items()) + " ELSE -1D END"
     else:
         limit = arms.get("", "-1D")
-    marked = hashed.withColumn("__test", F.expr(f"cast(__h AS double) <= {limit}"))
-    return marked.where("NOT __test").drop("__h", "__test"), marked.where("__test").drop("__h", "__test")
+    return _parts(hashed, f"cast(__h AS double) <= {limit}")
+
+
+LISTED_CLASSES = 2_000
+
+
+def _parts(hashed: DataFrame, test: str) -> tuple[DataFrame, DataFrame]:
+    marked = hashed.withColumn("__test", F.expr(test))
+    extra = [c for c in marked.columns if c.startswith("__")]
+    return marked.where("NOT __test").drop(*extra), marked.where("__test").drop(*extra)
+
+
+def _split_many(hashed: DataFrame, y: str, n: int, n_test: int) -> tuple[DataFrame, DataFrame]:
+    """Many classes: each gets the floor of its share; the rows still owed go to the classes with the largest remainders,
+    found as an order statistic over classes. A class of one row cannot be split, so the split is then unstratified."""
+    counts = hashed.groupBy(F.expr(y).alias("__y")).agg(F.count("*").alias("__c"))
+    share = counts.withColumn("__q", F.expr(f"cast(floor({n_test}D * __c / {n}D) AS bigint)")).withColumn(
+        "__r", F.expr(f"{n_test}D * __c / {n}D - __q + __c * 1e-12 + pmod(xxhash64(__y), 1000000) * 1e-19"))
+    least, given, classes = agg_row(share, ["min(__c)", "sum(__q)", "count(*)"])
+    if least < 2:
+        limit = order_statistics(hashed, {"": ("cast(__h AS double)", [n_test - 1])}, {"": n})[""][n_test - 1]
+        return _parts(hashed, f"cast(__h AS double) <= {double(limit)}")
+    owed, edge = n_test - given, 2.0
+    if owed:
+        edge = order_statistics(share, {"": ("__r", [classes - owed])}, {"": classes})[""][classes - owed]
+    quota = share.selectExpr("__y", f"__q + cast(__r >= {double(edge)} AS int) AS __quota")
+    placed = hashed.withColumn("__y", F.expr(y)).join(quota, "__y")
+    order = F.row_number().over(Window.partitionBy("__y").orderBy("__h"))
+    return _parts(placed.withColumn("__n", order), "__n <= __quota")

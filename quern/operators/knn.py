@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.lineage import cut
+from quern.functions.ship import ship
 from quern.functions.names import double, q
 from quern.functions.types import as_double, families
 from quern.operators.profile import fingerprint
@@ -81,6 +82,7 @@ class KnnFill:
     @classmethod
     def fit(cls, df: DataFrame, targets: list[str], features: list[str], k: int = 5, cell_rows: int = CELL_ROWS
             ) -> KnnFill:
+        ship(df.sparkSession)
         fams = families(df)
         donors = df.selectExpr(*[f"{as_double(c, fams[c])} AS {q(c)}" for c in features])
         stats = agg_row(donors, [e for c in features for e in (f"avg({q(c)})", f"stddev_samp({q(c)})")])

@@ -1,11 +1,10 @@
 """Exact order statistics and quantiles of many columns at once, without holding a column in one task.
 
-Spark's `percentile` keeps a map of every distinct value in the final task, which is fine for a bounded number of
-values and fatal for a long high-cardinality column. Beyond that bound each wanted rank is bracketed with
-`approx_percentile`, the bracket is counted exactly, and the search continues inside it. Every pass is one
-aggregation with map-side combining and no row shuffle; a pass narrows a bracket by a factor of a few hundred, so
-10^12 values need about four. The endpoints of a bracket are excluded from the next one, so a value that holds a
-third of all rows is resolved as soon as it becomes an endpoint.
+Spark's `percentile` keeps a map of every distinct value in the final task, which is fatal for a long column of many
+values. Here each wanted rank is bracketed with `approx_percentile`, the bracket is counted exactly, and the search goes
+on inside it until few enough values are left to gather. Every pass is one aggregation with map-side combining and no row
+shuffle; a pass narrows a bracket by a factor of a few thousand, so 10^12 values need about three. The ends of a bracket
+are excluded from the next one, so a value that holds a third of all rows is resolved as soon as it becomes an end.
 """
 
 from __future__ import annotations
@@ -18,9 +17,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.names import double
 
-EXACT_VALUES = 300_000   # rows x columns that the built-in percentile may hold
 GATHER_VALUES = 300_000    # values collected in one job to finish searches, over all brackets
-ACCURACY = 1_000
+ACCURACY = 10_000
 EXPRESSIONS = 240          # aggregate expressions per job
 
 
@@ -39,8 +37,8 @@ def agg_row(df: DataFrame, expressions: list[str]) -> list:
     return out
 
 
-def quantiles(df: DataFrame, wanted: dict[str, tuple[str, list[float]]], counts: dict[str, int] | None = None,
-              exact_values: int = EXACT_VALUES) -> dict[str, dict[float, float | None]]:
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, list[float]]], counts: dict[str, int] | None = None
+              ) -> dict[str, dict[float, float | None]]:
     """Linear-interpolation quantiles. `wanted` maps a key to (SQL double expression, probabilities)."""
     if not wanted:
         return {}
@@ -54,13 +52,6 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, list[float]]], counts:
             live.append(k)
         else:
             out[k] = {p: None for p in wanted[k][1]}
-    if sum(counts[k] for k in live) <= exact_values:
-        rows = agg_row(df, [f"percentile({wanted[k][0]}, array({', '.join(f'{p!r}D' for p in wanted[k][1])}))"
-                            for k in live])
-        for k, values in zip(live, rows):
-            out[k] = dict(zip(wanted[k][1], values))
-        return out
-
     ranks: dict[str, tuple[str, list[int]]] = {}
     for k in live:
         expr, ps = wanted[k]

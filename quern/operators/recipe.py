@@ -127,6 +127,7 @@ class Recipe:
             df = self._rows(df, DropMissing(self.target), model, "rows without a target dropped")
         if self.drop_duplicates:
             df = self._rows(df, DropDuplicates(), model, "duplicate rows dropped")
+        staged = df = df.persist()   # the passes below read these rows, not the shuffle that made them distinct
         df = self._dates(df, facts, recs, model)
         for c in self._features(df):
             if self._override(c).imputation == "drop_rows":
@@ -135,6 +136,7 @@ class Recipe:
         df = self._cap(df, recs, model)
         df = self._scale(df, recs, model)
         self._encode(df, facts, recs, model)
+        staged.unpersist()
         if self.target is not None:
             model.log.append(f"target {self.target!r} left as it is and moved last")
         return model
@@ -297,22 +299,25 @@ class Recipe:
         step, hot = S.Projection(), []
         for c, choice in how.items():
             n, values = seen[c]
-            if n > S.LITERAL_VALUES and choice != "frequency":
-                raise ValueError(f"{choice} encoding of {c!r} has {n} values; use frequency encoding")
+            if n > S.ONE_HOT_VALUES and choice == "onehot":
+                model.log.append(f"{c!r} has {n} values: frequency instead of one-hot encoding")
+                choice = "frequency"
             if choice == "binary" and n > 2:
                 model.log.append(f"{c!r} has {n} values: ordinal codes on sorted values instead of binary")
                 choice = "sorted"
-            if choice == "frequency":
+            if n > S.LITERAL_VALUES and choice in ("ordinal", "sorted"):
+                model.steps.append(S.ranked_codes(df, c, fams[c]))
+            elif choice == "frequency":
                 piece = S.frequency(df, c, totals[c], values, fams[c])
                 if isinstance(piece, S.Projection):
                     step.replace.update(piece.replace)
                 else:
                     model.steps.append(piece)
             elif choice == "binary":
-                step.replace[c] = S.code_expression(q(c), S.binary_codes(values, fams[c]), fams[c])
+                step.replace[c] = S.code_expression(q(c), S.binary_codes(values, fams[c]), fams[c], "-1")
             elif choice in ("ordinal", "sorted"):
                 order = ordinal_order([v for v in values if v != MISSING]) if choice == "ordinal" else None
-                step.replace[c] = S.code_expression(q(c), S.ordinal_codes(values, order, MISSING), fams[c])
+                step.replace[c] = S.code_expression(q(c), S.ordinal_codes(values, order, MISSING), fams[c], "-1")
             elif choice == "onehot":
                 hot.append(c)
                 step.add += S.one_hot(c, values, fams[c], taken)

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.lineage import spread
 from quern.functions.names import q, text
 from quern.functions.text import (
     BOOLEAN_PAIRS, CURRENCY, MISSING_TOKENS, bare_digits, bare_number, case_map, collapse, fold, folded, in_words,
@@ -69,7 +68,7 @@ def repair_layers(rule_id: str, params: dict) -> tuple:
     if rule_id == "R-QLT-07":
         return (strip,)
     if rule_id == "R-QLT-01":
-        return (lambda x: f"CASE WHEN octet_length({x}) <= 64 AND {in_words(folded(x), params['tokens'])} "
+        return (lambda x: f"CASE WHEN octet_length({strip(x)}) <= 64 AND {in_words(folded(x), params['tokens'])} "
                           f"THEN NULL ELSE {x} END",)
     if rule_id == "R-QLT-03":
         return number_layers()
@@ -157,7 +156,7 @@ def spellings(df: DataFrame, columns: dict[str, str], order_by: str | None = Non
     names = list(columns)
     entries = ", ".join(f"{i}, {columns[c]}" for i, c in enumerate(names))
     source = df.withColumn("__at__", F.col(order_by) if order_by else F.monotonically_increasing_id())
-    tall = spread(source).selectExpr("__at__", f"stack({len(names)}, {entries}) AS (col, raw)").where("raw IS NOT NULL")
+    tall = source.selectExpr("__at__", f"stack({len(names)}, {entries}) AS (col, raw)").where("raw IS NOT NULL")
     seen = (tall.groupBy("col", "raw").agg(F.count("*").alias("cnt"), F.min("__at__").alias("first"))
             .withColumn("spelling", F.expr(collapse("raw")))
             .groupBy("col", "spelling").agg(
@@ -227,7 +226,7 @@ class RepairPlanner:
         grouped counts combine on the map side."""
         if not texts:
             return {}
-        cells = spread(df.select(*[q(c) for c in texts])).selectExpr(f"stack({len(texts)}, {', '.join(f'{i}, {q(c)}' for i, c in enumerate(texts))}) AS (col, x)")
+        cells = df.selectExpr(f"stack({len(texts)}, {', '.join(f'{i}, {q(c)}' for i, c in enumerate(texts))}) AS (col, x)")
         cells = cells.where("x IS NOT NULL").selectExpr("col", "x", f"{strip('x')} AS s")
         # no placeholder and no yes/no word is longer than 40 bytes
         cells = cells.selectExpr("col", "x", "s", f"CASE WHEN octet_length(s) <= 40 THEN {fold('s')} END AS w",
@@ -298,7 +297,7 @@ class RepairPlanner:
         for c in columns:
             x = q(c)
             nulls = [r.params["tokens"] for r in steps[c] if r.rule_id == "R-QLT-01"]
-            word = f"CASE WHEN octet_length({x}) <= 40 THEN {folded(x)} END"
+            word = f"CASE WHEN octet_length({strip(x)}) <= 40 THEN {folded(x)} END"
             kept = f"CASE WHEN coalesce({in_words(word, nulls[0])}, false) THEN NULL ELSE {x} END" if nulls else x
             exprs[c] = strip(kept) if any(r.rule_id == "R-QLT-07" for r in steps[c]) else kept
         repetitive = self._repetitive(df, exprs, shapes)
@@ -393,7 +392,7 @@ class RepairPlanner:
         at = "__row__"
         base = df.withColumn(at, F.col(self.order_by) if self.order_by else F.monotonically_increasing_id())
         raw = [f"cast({q(c)} AS string) AS {q('before ' + str(i))}" for i, c in enumerate(columns)]
-        both = plan.transform(spread(base).selectExpr(at, *[q(c) for c in columns], *raw))
+        both = plan.transform(base.selectExpr(at, *[q(c) for c in columns], *raw))
         entries = ", ".join(f"{i}, {q('before ' + str(i))}, cast({q(c)} AS string)" for i, c in enumerate(columns))
         cells = both.selectExpr(at, f"stack({len(columns)}, {entries}) AS (col, before, after)")
         changed = cells.where("before IS NOT NULL AND NOT (before <=> after)")

@@ -15,7 +15,8 @@ from quern.operators.facts import small_frame
 from quern.operators.quantiles import agg_row, quantiles
 from quern.operators.value_counts import text_key
 
-CLASSES_LISTED = 10_000
+CLASSES_LISTED = 1_000     # classes in the report, the most frequent first; `class_table` has all of them
+MAX_BROADCAST = 100_000    # class totals sent to all tasks; more are joined by shuffle
 NUMERIC_BINS = 20
 
 
@@ -30,11 +31,12 @@ class TargetAnalysis:
     gini: float | None = None
     entropy: float | None = None
     severity: str | None = None
+    class_table: DataFrame | None = None     # (class, count) of every class
     features: list[dict] = field(default_factory=list)
     recommendation: str = ""
 
     def to_dict(self) -> dict:
-        return dict(vars(self))
+        return {k: v for k, v in vars(self).items() if k != "class_table"}
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
@@ -120,9 +122,10 @@ def mutual_information(df: DataFrame, target: str, features: list[str], regressi
              .groupBy("f", "x", "y").agg(F.count("*").alias("c")))
     of_x = joint.groupBy("f", "x").agg(F.sum("c").alias("cx"))
     of_y = joint.where("f = 0").groupBy("y").agg(F.sum("c").alias("cy"))
-    total = of_y.agg(F.sum("cy").alias("n"))
-    return (joint.join(of_x, ["f", "x"]).join(of_y, "y").join(F.broadcast(total)).groupBy("f")
-            .agg(F.sum(F.expr("c / n * ln(double(c) * n / (double(cx) * cy))")).alias("mi")))
+    classes, n = of_y.agg(F.count("*"), F.sum("cy")).first()
+    of_y = F.broadcast(of_y) if classes <= MAX_BROADCAST else of_y     # with few classes each is a hot key
+    return (joint.join(of_x, ["f", "x"]).join(of_y, "y").groupBy("f")
+            .agg(F.sum(F.expr(f"c / {n or 1}D * ln(double(c) * {n or 1}D / (double(cx) * cy))")).alias("mi")))
 
 
 def analyze_target(df: DataFrame, target: str) -> TargetAnalysis:
@@ -144,7 +147,8 @@ def analyze_target(df: DataFrame, target: str) -> TargetAnalysis:
         out.minority_pct, out.gini, out.entropy = balance["minority_pct"], balance["gini"], balance["entropy"]
         out.severity = imbalance(out.minority_pct)
         h_nats = out.entropy * math.log(2)
-        listed = class_counts(df, target).orderBy(F.desc("count"), "class").limit(CLASSES_LISTED).collect()
+        out.class_table = class_counts(df, target)
+        listed = out.class_table.orderBy(F.desc("count"), "class").limit(CLASSES_LISTED).collect()
         out.classes = [{"class": r["class"], "count": r["count"], "percentage": 100.0 * r["count"] / out.rows}
                        for r in listed]
     features = [c for c in df.columns if c != target and fams[c] != "other"]

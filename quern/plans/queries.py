@@ -48,7 +48,7 @@ def once(spark: SparkSession, key: tuple, make: Callable[[], object]):
 
 
 def facts(spark, sf, view):
-    return once(spark, ("facts", sf, view), lambda: P.profile(load(spark, sf, view), samples=False))
+    return once(spark, ("facts", sf, view), lambda: P.profile(load(spark, sf, view), persist=True))
 
 
 def facts_frame(spark, sf, view):
@@ -310,8 +310,7 @@ def _(spark, sf):
 @query("dst_07_cramers_v")
 def _(spark, sf):
     f = facts(spark, sf, "events_gaps")
-    found = P.cramers_v(load(spark, sf, "events_gaps"), P.association_candidates(f.columns),
-                        {c.name: c.unique for c in f.columns.values()})
+    found = P.cramers_v(load(spark, sf, "events_gaps"), P.association_candidates(f.columns))
     return small_frame(spark, [{"feature_a": a, "feature_b": b, "v": round(v, 5)} for a, b, v in found],
                        [("feature_a", s_), ("feature_b", s_), ("v", f_)])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import asdict, dataclass
 
@@ -19,7 +20,6 @@ DELIMITERS = (",", "\t", ";", "|")
 WRAPPERS = ("data", "records", "items", "rows")
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
              "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-PROBE_BYTES = 8192
 # cp1252 is read as ISO 8859-1, which Spark accepts; the two differ only in these 32 code points.
 READ_AS = {"cp1252": "iso-8859-1"}
 _C1 = "".join(map(chr, range(0x80, 0xA0)))
@@ -42,17 +42,32 @@ class ScanMetadata:
         return asdict(self)
 
 
+@dataclass
+class TextShape:
+    encoding: str
+    size_kb: float
+    lines: int
+    open_quotes: bool     # some line has an odd number of quotes: a quoted field goes on in the next line
+
+
+def text_shape(spark: SparkSession, path: str) -> TextShape:
+    """SRC-3, SRC-9: encoding, size and quoting of all files under a path, from one pass over all their lines. The text
+    source hands on the bytes of a line as they are, and splits files of any size; the text is UTF-8 if every line is."""
+    lines = spark.read.text(path)
+    found = lines.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size")).groupBy("f").agg(
+        F.max("size").alias("size"), F.count("*").alias("n"),
+        F.expr("count_if(NOT is_valid_utf8(value))").alias("bad"),
+        F.expr("""count_if(pmod(length(value) - length(replace(value, '"', '')), 2) = 1)""").alias("open"))
+    size, n, bad, opened = found.agg(F.sum("size"), F.sum("n"), F.sum("bad"), F.sum("open")).first()
+    if not n:
+        raise ValueError(f"no rows in {path!r}")
+    return TextShape("cp1252" if bad else "utf-8", round(size / 1024, 2), n, opened > 0)
+
+
 def detect_encoding(spark: SparkSession, path: str) -> tuple[str, float]:
-    """SRC-3, SRC-9: (encoding, size in kB). The probe may cut a multi-byte character, so up to three trailing bytes
-    are allowed to be incomplete. Only the probe leaves the executors."""
-    head = spark.read.format("binaryFile").load(path).selectExpr(
-        "length", f"substring(content, 1, {PROBE_BYTES}) AS head").orderBy("length").limit(1)
-    whole, *cut = [f"is_valid_utf8(substring(head, 1, length(head) - {k}))" for k in range(4)]
-    row = head.selectExpr("length", f"{whole} OR (length(head) = {PROBE_BYTES} AND ({' OR '.join(cut)})) AS ok").first()
-    if row is None:
-        raise ValueError(f"no file at {path!r}")
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-    return ("utf-8" if row["ok"] else "cp1252"), round(size / 1024, 2)
+    """SRC-3: (encoding, size in kB)."""
+    shape = text_shape(spark, path)
+    return shape.encoding, shape.size_kb
 
 
 def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
@@ -74,14 +89,16 @@ def best_delimiter(lines: list[str]) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
-                   na_tokens=NA_TOKENS, infer_types: bool = True) -> DataFrame:
+                   na_tokens=NA_TOKENS, infer_types: bool = True, shape: TextShape | None = None) -> DataFrame:
     """SRC-1: every column is read as text, short rows are padded, rows with too many fields are skipped; then headers
-    and types follow our own rules. Files are split over tasks unless a field may span lines."""
-    encoding = encoding or detect_encoding(spark, path)[0]
+    and types follow our own rules. Files are split over tasks, unless a line of them leaves a quote open: then a field
+    goes on in the next line, and each file is read as a whole."""
+    shape = shape or text_shape(spark, path)
+    encoding = encoding or shape.encoding
     delimiter = delimiter or ("\t" if os.path.splitext(path)[1].lower() in (".tsv", ".tab")
                               else sniff_delimiter(spark, path, encoding))
     reader = (spark.read.option("sep", delimiter).option("encoding", READ_AS.get(encoding, encoding)).option("mode", "PERMISSIVE").option("columnPruning", False)
-              .option("quote", '"').option("escape", '"'))
+              .option("quote", '"').option("escape", '"').option("multiLine", shape.open_quotes))
     header = reader.csv(path).first()
     if header is None:
         raise ValueError(f"{path!r} holds no rows")
@@ -144,16 +161,21 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """SRC-4: JSON Lines (split over tasks), a list of records, an object that wraps a list, or one object."""
+    """SRC-4: JSON Lines (split over tasks), a list of records, an object that wraps a list, or one object. Lines whose first
+    one is a whole object are JSON Lines, and then a line that is no JSON is an error that tells how many there are."""
     charset = READ_AS.get(encoding, encoding)
-    lines = spark.read.option("encoding", charset).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
-    if _CORRUPT in lines.columns:       # not one record per line: the file is one document
-        df = spark.read.option("multiLine", True).option("encoding", charset).option(
-            "columnNameOfCorruptRecord", _CORRUPT).json(path)
-        if _CORRUPT in df.columns:
+    first = spark.read.option("encoding", charset).text(path).where("trim(value) <> ''").first()
+    try:
+        by_line = first is not None and isinstance(json.loads(first[0].lstrip(chr(0xFEFF))), dict)
+    except ValueError:
+        by_line = False
+    reader = spark.read.option("encoding", charset).option("columnNameOfCorruptRecord", _CORRUPT)
+    df = reader.option("multiLine", not by_line).json(path)
+    if _CORRUPT in df.columns:
+        if not by_line or df.columns == [_CORRUPT]:
             raise ValueError(f"{path!r} is neither JSON nor JSON Lines")
-    else:
-        df = lines
+        bad = spark.read.text(path).where("trim(value) <> '' AND try_parse_json(value) IS NULL")
+        raise ValueError(f"{path!r} has {bad.count()} lines that are no JSON, e.g. {[r[0][:200] for r in bad.take(1)]!r}")
     for key in WRAPPERS:
         kind = next((f.dataType for f in df.schema.fields if f.name == key), None)
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
@@ -163,7 +185,8 @@ def read_json(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFr
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """SRC-6: nested columns are flattened as in JSON."""
+    return flatten(spark.read.parquet(path))
 
 
 def scan(spark: SparkSession, path: str, **options) -> tuple[DataFrame, ScanMetadata]:
@@ -172,15 +195,17 @@ def scan(spark: SparkSession, path: str, **options) -> tuple[DataFrame, ScanMeta
     encoding = delimiter = None
     if ext in PARQUET_EXTENSIONS:
         df, kind = standardise_headers(read_parquet(spark, path)), "parquet"
-        size = round(spark.read.format("binaryFile").load(path).select("length").agg(F.sum("length")).first()[0] / 1024, 2)
+        files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
+        size = round((files.agg(F.sum("s")).first()[0] or 0) / 1024, 2)
     elif ext in JSON_EXTENSIONS:
         encoding, size = detect_encoding(spark, path)
         df, kind = standardise_headers(read_json(spark, path, encoding)), "json"
     else:
-        encoding, size = detect_encoding(spark, path)
+        shape = text_shape(spark, path)
+        encoding, size = shape.encoding, shape.size_kb
         delimiter = options.pop("delimiter", None) or (
             "\t" if ext in (".tsv", ".tab") else sniff_delimiter(spark, path, encoding))
-        df = read_delimited(spark, path, delimiter, encoding, **options)
+        df = read_delimited(spark, path, delimiter, encoding, shape=shape, **options)
         kind = "tsv" if delimiter == "\t" else "csv"
     if df.isEmpty():
         raise ValueError(f"{path!r} holds no rows")

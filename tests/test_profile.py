@@ -79,16 +79,23 @@ def test_correlation_over_complete_rows_only(spark):
     assert got[("a", "c")] == pytest.approx(1.0, abs=1e-6)
 
 
-def test_cramers_v_paths_agree(spark):
+def test_cramers_v_agrees_with_chi_squared(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 4, 400)
     rows = [(f"a{i}", f"b{i if rng.random() < .8 else 0}", "yn"[i % 2], "pq"[(i + (rng.random() < .1)) % 2]) for i in a]
     df = spark.createDataFrame(rows, "a string, b string, c string, d string")
     pairs = [("a", "b"), ("c", "d"), ("a", "d")]
-    small = P.cramers_v(df, pairs, dict.fromkeys("abcd", 5))
-    large = P.cramers_v(df, pairs)
-    assert [p[:2] for p in small] == [p[:2] for p in large] == sorted(pairs)
-    assert [p[2] for p in small] == pytest.approx([p[2] for p in large])
+    def expected(x, y):
+        t = np.array([[sum(r["abcd".index(x)] == u and r["abcd".index(y)] == v for r in rows) for v in sorted({r["abcd".index(y)] for r in rows})]
+                      for u in sorted({r["abcd".index(x)] for r in rows})], float)
+        n, (r, k) = t.sum(), t.shape
+        e = np.outer(t.sum(1), t.sum(0)) / n
+        chi2 = ((np.maximum(abs(t - e) - 0.5, 0) if (r, k) == (2, 2) else t - e) ** 2 / e).sum()
+        phi2 = max(0, chi2 / n - (k - 1) * (r - 1) / (n - 1))
+        return (phi2 / (min(k - (k - 1) ** 2 / (n - 1), r - (r - 1) ** 2 / (n - 1)) - 1)) ** 0.5
+    got = P.cramers_v(df, pairs)
+    assert [p[:2] for p in got] == sorted(pairs)
+    assert [p[2] for p in got] == pytest.approx([expected(*p) for p in sorted(pairs)])
 
 
 def test_bijection_is_a_critical_pair(spark):
