@@ -2,18 +2,20 @@
 
     {"metric": "...", "value": total seconds, "unit": "sec", "queries": {name: sec}, "sf": ...}
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 2; the first warms the JVM).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3). Times are medians over the runs;
+"jobs" counts the Spark jobs of one run.
 Facts shared between queries are forgotten before each run, so every timing does its own work."""
 
 import json
 import os
+import statistics
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINES = (
     "rec_full_events", "prf_08_numeric_stats_lineitem", "prf_09_top_categories", "dst_02_exact_duplicates",
     "dst_05_pearson_matrix", "dst_07_cramers_v", "qlt_d_repair_log", "qlt_r_replay_all", "sco_01_health",
@@ -30,15 +32,19 @@ def main() -> None:
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    times: dict[str, float] = {}
+    times: dict[str, list[float]] = {name: [] for name in HEADLINES}
+    jobs: dict[str, int] = {}
     for run in range(max(1, RUNS)):
         for name in HEADLINES:
             Q._memo.clear()
+            spark.sparkContext.setJobGroup(f"{name}-{run}", name)
             start = time.perf_counter()
             Q.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(SF.rstrip("/"))}))
+            times[name].append(time.perf_counter() - start)
+            jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{name}-{run}"))
+    medians = {name: round(statistics.median(t), 3) for name, t in times.items()}
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(medians.values()), 3), "unit": "sec",
+                      "queries": medians, "jobs": jobs, "sf": os.path.basename(SF.rstrip("/"))}))
 
 
 if __name__ == "__main__":
