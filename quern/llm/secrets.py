@@ -34,6 +34,7 @@ RULES = (
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/@]{3,64}@"),
 )
 VERSION = "1"
+SALTS = 16
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -75,10 +76,13 @@ def scan_new(versions: DataFrame, text: str = "text", ledger: DataFrame | None =
 
 
 def join_back(versions: DataFrame, entries: DataFrame, columns: dict[str, str], text: str = "text", version: str = VERSION) -> DataFrame:
-    """The wanted columns of every row of `versions` under new names, with `blob` and the blob's `spans` from the ledger's entries."""
+    """The wanted columns of every row of `versions` under new names, with `blob` and the blob's `spans` from the ledger's entries,
+    which must know every blob. Only entries with spans are joined; rows of a blob are spread over SALTS keys."""
     own = versions.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()), address(F.col(f"`{text}`")).alias("blob"))
-    known = entries.where(F.col("version") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
-    return own.join(known, "blob")
+    own = own.withColumn("salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int"))
+    hits = entries.where((F.col("version") == version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    salted = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.join(salted, ["blob", "salt"], "left").select(*columns, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _count(kind: str) -> Column:

@@ -1,4 +1,5 @@
 """Operators 2, 3, 4, 5, 8, 9 and the pipeline against brute force."""
+import bisect
 import hashlib
 import random
 import re
@@ -257,11 +258,12 @@ def test_section_tokens(spark, odd, fields, rule):
                 spans.append([r.doc_id, f, k, at, at + len(line), 0, 0])
                 at += len(line)
         raw = "\n".join(r[f] or "" for f in fields).encode()
+        heads = [s[3] for s in spans]
         chars = np.cumsum([b & 0xC0 != 0x80 for b in raw]) - 1
         at = 0
         for t in encoding.encode_ordinary(raw.decode()):
             n = len(encoding.decode_single_token_bytes(t))
-            low, high = (next(i for i, s in enumerate(spans) if s[3] <= chars[x] < s[4]) for x in (at, at + n - 1))
+            low, high = (bisect.bisect_right(heads, chars[x]) - 1 for x in (at, at + n - 1))
             chosen = low if rule == "first" else high
             spans[chosen][5] += 1
             spans[chosen][6] += low != high
