@@ -19,7 +19,7 @@ from quern.llm.words import Windows, buffer, mix, words
 _U = np.uint64
 OCTAVE = 7  # steps of a document frequency's code in each doubling; code 0: only one document has the shingle
 DAMPING = 4
-CHUNK = 100_000  # elements of the vectors compared with one another in one go
+CHUNK = 50_000  # elements of the vectors compared with one another in one go
 
 
 def _shingles(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +77,15 @@ def _gamma() -> list[np.ndarray]:
     return _GAMMA
 
 
+KEY = 6  # bytes of a shingle's hash in a vector; within two texts they are distinct enough
+
+
 def _elements(keys: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes and how often the text has each."""
-    k = np.frombuffer(keys, np.uint64)
+    low = np.frombuffer(keys, np.uint8).reshape(-1, KEY)
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, :KEY] = low
+    k = full.view(np.uint64).ravel()
     return k, (np.frombuffer(times, np.uint32) if times else np.ones(len(k), np.uint32))
 
 
@@ -150,13 +156,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 row = (None,) * 5
                 if b > a and shared[b] - shared[a] >= similarity * (total[b] - total[a]) - 1e-6:
-                    keys, place, times = np.unique(hashes[a:b], return_index=True, return_counts=True)
+                    keys, place, times = np.unique(hashes[a:b] >> _U(64 - 8 * KEY), return_index=True, return_counts=True)
                     t = b"" if len(keys) == b - a else times.astype(np.uint32).tobytes()
                     vector = hashlib.blake2b(keys.tobytes() + t, digest_size=16).digest()
                     row = (vector, None, None, None, None)
                     if vector not in seen:
                         seen.add(vector)
-                        row = (vector, total[b] - total[a], keys.tobytes(), code[a:b][place].tobytes(), t)
+                        packed = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
+                        row = (vector, total[b] - total[a], packed, code[a:b][place].tobytes(), t)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
         ids = table["doc_id"] if table.num_rows else pa.array([], id_type)
@@ -208,7 +215,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "band", "vector", F.coalesce("component", "vector").alias("component"))
     main = pivots.join(found.withColumnRenamed("node", "p"), F.col("pivot.vector") == F.col("p"), "left").select(
         "band", F.coalesce("component", "pivot.vector").alias("main"))
-    lengths = vectors.select("vector", (F.octet_length("keys") / 8).cast("long").alias("n"))
+    lengths = vectors.select("vector", (F.octet_length("keys") / KEY).cast("long").alias("n"))
     mixed = (named.join(lengths, "vector").groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks")).where("low <> high").join(main, "band"))
