@@ -322,6 +322,31 @@ O["rec_08_winsorize"] = _EV + " SELECT event_id, round(least(greatest(value, a),
 O["rec_08_clip_iqr"] = _EV + " SELECT event_id, round(least(greatest(value, c - 1.5 * (d - c)), d + 1.5 * (d - c)), 6) AS value FROM events, q"
 O["rec_08_zscore_clip"] = _EV + " SELECT event_id, round(least(greatest(value, m - 3 * s), m + 3 * s), 6) AS value FROM events, q"
 O["rec_09_standard"] = "WITH q AS (SELECT avg(l_quantity) m, stddev_pop(l_quantity) s FROM lineitem) SELECT l_orderkey, l_linenumber, round((l_quantity - m) / s, 6) AS l_quantity FROM lineitem, q"
+
+
+def _bent(x: str, g: str) -> str:
+    """The Yeo-Johnson transform of x with exponent g."""
+    branch = lambda p: f"CASE WHEN abs({p}) < 1e-12 THEN ln(1 + abs({x})) ELSE (exp({p} * ln(1 + abs({x}))) - 1) / ({p}) END"
+    return f"(CASE WHEN {x} >= 0 THEN {branch(g)} ELSE -({branch(f'(2 - {g})')}) END)"
+
+
+def _power() -> str:
+    """Six grids of 17 exponents, each around the likeliest of the one before."""
+    steps = ["s AS (SELECT count(shifted) AS n, sum(sign(shifted) * ln(1 + abs(shifted))) AS ls FROM gaps)",
+             "b0 AS (SELECT CAST(-2 AS DOUBLE) AS lo, CAST(2 AS DOUBLE) AS hi, CAST(1 AS DOUBLE) AS best)"]
+    for k in range(1, 7):
+        steps += [
+            f"g{k} AS (SELECT lo + (hi - lo) * i / 16 AS g FROM b{k - 1}, range(17) t(i))",
+            f"v{k} AS (SELECT g, var_pop({_bent('shifted', 'g')}) AS v FROM g{k}, gaps WHERE shifted IS NOT NULL GROUP BY g)",
+            f"w{k} AS (SELECT g FROM v{k}, s WHERE v > 0 ORDER BY -n / 2 * ln(v) + (g - 1) * ls DESC, g DESC LIMIT 1)",
+            f"r{k} AS (SELECT g, CASE WHEN (g = lo OR g = hi) AND (lo <= -2 OR hi >= 2) THEN (hi - lo) / 2 ELSE (hi - lo) / 16 END AS r FROM w{k}, b{k - 1})",
+            f"b{k} AS (SELECT g - r AS lo, g + r AS hi, g AS best FROM r{k})"]
+    y = _bent("shifted", "best")
+    return GAPS + ", ".join(steps) + f""", q AS (SELECT avg({y}) AS m, stddev_pop({y}) AS d FROM gaps, b6)
+SELECT event_id, round(({y} - m) / d, 5) AS shifted FROM gaps, b6, q"""
+
+
+O["rec_10_yeo_johnson"] = _power()
 O["rec_09_robust"] = "WITH q AS (SELECT quantile_cont(value, 0.5) m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) i FROM events) SELECT event_id, round((value - m) / i, 6) AS value FROM events, q"
 O["rec_09_log1p"] = _EV + " SELECT event_id, round(ln(1 + least(greatest(value, a), b)), 6) AS value FROM events, q"
 O["rec_11_binary"] = "SELECT l_orderkey, l_linenumber, CAST(l_linestatus = 'O' AS INT) AS l_linestatus FROM lineitem"

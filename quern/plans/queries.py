@@ -467,8 +467,9 @@ def _(spark, sf):
 @query("rec_10_yeo_johnson")
 def _(spark, sf):
     df = load(spark, sf, "events_gaps").select("event_id", "shifted")
-    return df.select("event_id", F.expr(R.scale_expressions(df, {"shifted": "yeo_johnson"}, families(df))["shifted"])
+    bent = df.select("event_id", F.expr(R.scale_expressions(df, {"shifted": "yeo_johnson"}, families(df))["shifted"])
                      .alias("shifted"))
+    return rounded(bent, 5, "shifted")
 
 
 @query("rec_11_binary")
