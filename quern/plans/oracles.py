@@ -162,6 +162,9 @@ ORACLES: dict[str, str] = {}
 O = ORACLES
 
 # ---- sources and sinks
+O["src_01_delimited_scan"] = """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment,
+       c_name || chr(10) || '"' || c_mktsegment || '", ' || c_custkey AS note FROM customer"""
+O["src_04_json_scan"] = """SELECT event_id, event_type AS "e.kind", user_id AS "e.user.id", value, props FROM events"""
 O["src_05_flatten"] = """SELECT doc_id, lang AS "meta.lang", source AS "meta.origin.source", n_chars AS "meta.origin.size"
 FROM documents"""
 O["src_07_header_rules"] = """SELECT event_id, event_type, user_id AS event_type_1, value AS feature_3, props AS "VALUE" FROM events"""

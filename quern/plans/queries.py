@@ -5,6 +5,8 @@ queries that read them."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -75,6 +77,30 @@ def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sources and sinks
 
+def _place(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach; a session without a shared one is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.mkdtemp(prefix='quern-')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src_01_delimited_scan")
+def _(spark, sf):
+    """The table written as delimited text, with quotes, delimiters and line breaks inside fields, and scanned back."""
+    path = _place(spark, "customer")
+    (load(spark, sf, "customer").withColumn("note", F.expr("concat(c_name, '\\n\"', c_mktsegment, '\", ', c_custkey)"))
+     .write.option("header", True).option("escape", '"').csv(path))
+    return S.read_delimited(spark, path)
+
+
+@query("src_04_json_scan")
+def _(spark, sf):
+    """The table written as nested JSON Lines, and scanned back."""
+    path = _place(spark, "events")
+    load(spark, sf, "events").selectExpr(
+        "event_id", "named_struct('kind', event_type, 'user', named_struct('id', user_id)) AS e", "value", "props").write.json(path)
+    return S.read_json(spark, path)
+
+
 @query("src_05_flatten")
 def _(spark, sf):
     nested = load(spark, sf, "documents").select(
