@@ -46,9 +46,9 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).first()["n"] or 0
 
 
-def sizes(total: int) -> tuple[int, int]:
-    """Blocks, and buckets as a power of two, for so many bytes of text."""
-    return max(1, math.ceil(total / BLOCK_BYTES)), 1 << max(0, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
+def sizes(total: int, larger: int = 1) -> tuple[int, int]:
+    """Blocks (`larger` times the usual size), and buckets as a power of two, for so many bytes of text."""
+    return max(1, math.ceil(total / (BLOCK_BYTES * larger))), 1 << max(0, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
 
 
 def blocks(docs: DataFrame, columns: dict[str, str], n: int) -> DataFrame:
