@@ -22,18 +22,25 @@ class Rule:
     least: int = 0
 
 
+# A private key: all up to the END line, which is the next five dashes. Where END is missing, the lines of base64 that follow with
+# their headers, and up to two last shorter ones. Lines may be quoted, or broken by a written-out \n.
+_BREAK = r"(?:[\s>\x22\x27,]|\\[nrt])++"
+_KEY = (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?>[\s\S]*?-----)END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        rf"|(?:{_BREAK}[A-Z][A-Za-z-]*+:\x20[^\r\n\\]*+)*+(?:{_BREAK}[A-Za-z0-9+/=]{{40,}}+)++(?:{_BREAK}[A-Za-z0-9+/=]++(?=[\x22\x27,]*+(?:[\r\n\\]|\z))){{0,2}}+"
+        rf"|(?:{_BREAK}[A-Za-z0-9+/=]{{16,}}+)*+)")
+
 # The formats of secrets. The first three are the base; the others add spans.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/@]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20/:@]*:[^\x00-\x20/@]{3,}@"),
 )
-VERSION = "1"
+VERSION = "1.1"
 SALTS = 16
 
 
