@@ -19,20 +19,26 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
                    "span strike strong sub sup time tt u var wbr label".split())
 OPAQUE = "script|style|title|noscript|template|textarea|select|iframe|object|svg|math|canvas|audio|video"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER = frozenset("nav header footer aside form button menu dialog fieldset".split())
+BOILER = frozenset("nav header footer aside button menu".split())
+WEIGHED = frozenset("form dialog fieldset".split())  # boilerplate, or around the whole page
+ROOTS = frozenset("html body main".split())  # never boilerplate
+STATES = (frozenset("no not has have with without hide hides".split()), frozenset("open closed enabled disabled on off".split()))
 HINTS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
     "disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo "
     "promoted recommended related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
     "contentinfo complementary search alert alertdialog".split())
 MAIN = frozenset(("article", "main"))
-_PART = re.compile(rf"<!--.*?(?:-->|\Z)|<({OPAQUE})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+_PART = re.compile(rf"<!--.*?(?:-->|\Z)|(<(?:svg|math)(?=[\s/>]){_ATTRIBUTES}(?<=/)>|<({OPAQUE})(?=[\s/>])[^>]*>.*?(?:</\2(?=[\s/>])[^>]*>|\Z))"
+                   rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>"
                    r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S | re.I)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
 # Labelled blocks: words, link density, the same of the block before and after, scope (2: in an article or main element,
-# 1: in a page without one, 0: outside the page's one), in a boilerplate element, label.
+# 1: in a page without one, 0: outside the page's one), how far in a boilerplate element (1 by name; by class, the part of
+# the text outside of it), label.
 LABELLED = (
     (120, 0.0, 80, 0.0, 90, 0.0, 2, 0, 1), (2, 0.0, 60, 0.0, 40, 0.0, 2, 0, 1), (9, 0.0, 4, 0.0, 150, 0.0, 2, 0, 1),
     (1, 0.0, 1, 0.0, 1, 0.0, 2, 0, 1), (40, 0.3, 60, 0.0, 8, 0.0, 2, 0, 1), (6, 1.0, 90, 0.1, 70, 0.0, 2, 0, 1),
@@ -50,6 +56,9 @@ LABELLED = (
     (30, 0.8, 4, 1.0, 40, 0.7, 1, 0, 0), (5, 1.0, 80, 0.0, 60, 0.0, 1, 0, 0), (9, 0.7, 9, 0.8, 70, 0.0, 1, 0, 0),
     (2, 1.0, 110, 0.0, 0, 0.0, 1, 0, 0), (6, 0.6, 3, 1.0, 3, 1.0, 1, 0, 0), (40, 0.9, 90, 0.0, 5, 1.0, 1, 0, 0),
     (7, 0.0, 90, 0.0, 14, 0.0, 1, 1, 0), (90, 0.0, 100, 0.0, 80, 0.0, 1, 1, 0), (1, 1.0, 1, 1.0, 60, 0.0, 1, 1, 0),
+    # boilerplate by class that holds nearly all of the text is a frame of the page
+    (100, 0.0, 70, 0.0, 80, 0.0, 2, 0.08, 1), (6, 0.0, 30, 0.0, 80, 0.0, 2, 0.08, 1), (90, 0.0, 60, 0.0, 80, 0.0, 1, 0.08, 1), (50, 0.0, 70, 0.0, 60, 0.0, 2, 0.12, 0),
+    (70, 0.0, 50, 0.0, 60, 0.0, 1, 0.12, 0), (40, 0.0, 60, 0.0, 50, 0.0, 1, 0.5, 0), (40, 0.0, 60, 0.0, 50, 0.0, 2, 0.5, 0),
     (20, 0.0, 15, 0.0, 0, 0.0, 1, 1, 0), (33, 0.2, 60, 0.0, 45, 0.0, 1, 1, 0), (5, 0.0, 0, 0.0, 100, 0.0, 1, 1, 0),
 )
 
@@ -59,19 +68,31 @@ def train() -> Tree:
     return Tree(table[:, :-1], table[:, -1], depth=6)
 
 
+def _hinted(name: str, attributes: str) -> bool:
+    """Whether an element's class, id or role names boilerplate. A state (`no-sidebar`, `comment-open`) does not; an article needs the whole word."""
+    if name in ROOTS:
+        return False
+    for mark in " ".join("".join(m) for m in _MARKS.findall(attributes)).lower().split():
+        parts = [t for t in re.split(r"[^a-z0-9]+", mark) if t]
+        if any(t in HINTS for t in parts) and (len(parts) == 1 or not (name in MAIN or parts[0] in STATES[0] or parts[-1] in STATES[1])):
+            return True
+    return False
+
+
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """The page's text blocks in order, and their features."""
     texts, rows, parts, linked = [], [], [], [0]
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, boilerplate, main, each with what holds around it
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, boilerplate by name, main, hinted element, each with what holds around it
+    around: list[int] = []  # of every hinted element: the hinted element around it, or -1
     anchors, has_main = 0, False
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                boiler, main, hinted = stack[-1][1:] if stack else (False, False, -1)
                 texts.append(text)
-                rows.append((len(text.split(" ")), min(1.0, linked[0] / max(len(text), 1)), main, boiler))
+                rows.append((len(text.split(" ")), min(1.0, linked[0] / max(len(text), 1)), main, boiler, hinted))
             parts.clear()
             linked[0] = 0
 
@@ -85,7 +106,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     for found in _PART.finditer(page):
         text(page[at:found.start()])
         at = found.end()
-        name = found[3] and found[3].lower()
+        name = found[4] and found[4].lower()
         if not name:
             if found[1]:
                 parts.append(" ")
@@ -94,24 +115,37 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             parts.append(" ")
         if name not in INLINE:
             flush()
-        if found[2]:
+        if found[3]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     anchors -= sum(e[0] == "a" for e in stack[k:])
                     del stack[k:]
                     break
-        elif name not in VOID and not found[4].endswith("/"):
-            marks = " ".join("".join(m) for m in _MARKS.findall(found[4])).lower()
-            outer = stack[-1] if stack else ("", False, False)
-            boiler = outer[1] or name in BOILER or any(t in HINTS for t in re.split(r"[^a-z0-9]+", marks))
+        elif name not in VOID and not found[5].endswith("/"):
+            _, boiler, main, hinted = stack[-1] if stack else ("", False, False, -1)
+            if name in WEIGHED or _hinted(name, found[5]):
+                around.append(hinted)
+                hinted = len(around) - 1
             has_main = has_main or name in MAIN
-            stack.append((name, boiler, outer[2] or name in MAIN))
+            stack.append((name, boiler or name in BOILER, main or name in MAIN, hinted))
             anchors += name == "a"
     text(page[at:])
     flush()
     out = np.zeros((len(rows), 8))
-    for i, (n, density, main, boiler) in enumerate(rows):
-        out[i, :2], out[i, 6:] = (n, density), (2 if main else 0 if has_main else 1, boiler)
+    held, total = np.zeros(len(around)), 0.0  # words of the main element, or else of the page, that are not linked
+    for n, density, main, boiler, hinted in rows:
+        if not boiler and (main or not has_main):
+            total += n * (1 - density)
+            if hinted >= 0:
+                held[hinted] += n * (1 - density)
+    for k in range(len(around) - 1, -1, -1):
+        if around[k] >= 0:
+            held[around[k]] += held[k]
+    rest = 1 - held / total if total else np.ones(len(around))
+    for k, outer in enumerate(around):
+        rest[k] = max(rest[k], rest[outer] if outer >= 0 else 0.0)
+    for i, (n, density, main, boiler, hinted) in enumerate(rows):
+        out[i, :2], out[i, 6:] = (n, density), (2 if main else 0 if has_main else 1, 1 if boiler else rest[hinted] if hinted >= 0 else 0)
     out[1:, 2:4], out[:-1, 4:6] = out[:-1, :2], out[1:, :2]
     return texts, out
 
@@ -121,7 +155,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", mark
 
     A page is cut into flat text blocks at every element that is not part of a line of text. A block's features are its
     word count and link density, those of the blocks before and after, whether it lies in an article or main element, and
-    whether in an element that is boilerplate by name, class, id or role. A decision tree, trained on LABELLED, decides.
+    whether in an element that is boilerplate by name or, where it holds only a part of the text, by class, id or role; one
+    that holds nearly all of it is the page's frame. A decision tree, trained on LABELLED, decides.
     Comments, scripts, styles and similar content are no text; character references are decoded; white space inside a block
     becomes one space. Nothing is capped; a tag that the page's end cuts off is dropped.
 

@@ -257,6 +257,26 @@ def test_main_text(spark):
     assert text[4] == text[5] == text[None] == "" and len(text[6]) == 249999 and all(r.n_chars == len(r.text) for r in got) and len(got) == 8
 
 
+FRAMES = ['<body class="no-sidebar"><article><p>%s</article>', '<div class="page has-sidebar"><article><p>%s</article></div>', '<main class="with-nav"><p>%s</main>',
+          '<article class="post comment-open"><p>%s</article>', '<main class="search"><p>%s</main>', '<div class="sidebar-left"><h1>T</h1><p>%s</div><div class="ad">buy</div>',
+          '<main><h1>T</h1><div class="layout sidebar-left"><article><p>%s</article></div></main>', '<form id="all"><div><p>%s</div></form>', '<video-js src=x><p>%s', '<title-bar></title-bar><p>%s',
+          '<article><svg width="1" height="1"/><p>%s</article>', '<article><math/><p>%s</article>', '<article><script>1</script x><p>%s</article>']
+
+
+def test_pages_are_not_lost_to_their_frames():
+    words = "some words of prose " * 15
+    def kept(page):
+        texts, features = html.blocks(page)
+        return [t for t, p in zip(texts, html.train().predict(features), strict=True) if p > 0.5]
+    for frame in FRAMES:
+        assert words.strip() in kept(frame % words), frame
+    assert kept(FRAMES[5] % words) == ["T", words.strip()]
+    replies = '<div id="comments">' + '<article class="comment-body"><p>reader</article>' * 3 + "</div>"
+    for page in ("<main><article><p>%s</article>" + replies + "</main>", '<div class="layout sidebar-left"><article><p>%s</article>' + replies + "</div>",
+                 "<article><p>%s</article><article class=related>more</article>", '<article><p>%s<svg><text>drawn</text></svg></article>'):
+        assert kept(page % words) == [words.strip()], page
+
+
 def test_tree_fits_its_table():
     table = np.array(html.LABELLED, float)
     assert ((html.train().predict(table[:, :-1]) > 0.5) == table[:, -1]).all()
