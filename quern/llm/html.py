@@ -56,6 +56,25 @@ LABELLED = (
     (30, 0.8, 4, 1.0, 40, 0.7, 1, 0, 0), (5, 1.0, 80, 0.0, 60, 0.0, 1, 0, 0), (9, 0.7, 9, 0.8, 70, 0.0, 1, 0, 0),
     (2, 1.0, 110, 0.0, 0, 0.0, 1, 0, 0), (6, 0.6, 3, 1.0, 3, 1.0, 1, 0, 0), (40, 0.9, 90, 0.0, 5, 1.0, 1, 0, 0),
     (7, 0.0, 90, 0.0, 14, 0.0, 1, 1, 0), (90, 0.0, 100, 0.0, 80, 0.0, 1, 1, 0), (1, 1.0, 1, 1.0, 60, 0.0, 1, 1, 0),
+    # beside an article, and link lists without one
+    (45, 0.0, 4, 0.0, 9, 0.0, 0, 0, 0), (60, 0.0, 10, 1.0, 3, 1.0, 0, 0, 0), (120, 0.0, 6, 0.0, 20, 0.0, 0, 0, 0), (10, 0.0, 8, 0.0, 30, 0.0, 0, 0, 0), (6, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0), (25, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0), (80, 0.1, 15, 0.0, 90, 0.0, 0, 0, 0), (36, 0.0, 12, 0.0, 40, 0.0, 0, 0, 0),
+    (15, 0.0, 20, 0.0, 25, 0.0, 0, 0, 0), (5, 0.0, 9, 1.0, 50, 0.0, 0, 0, 0), (200, 0.0, 8, 0.0, 70, 0.0, 0, 0, 0), (26, 0.0, 12, 0.0, 15, 0.0, 0, 0, 0), (60, 0.9, 4, 1.0, 6, 0.9, 1, 0, 0), (45, 0.7, 10, 0.8, 30, 0.0, 1, 0, 0), (80, 1.0, 0, 0.0, 9, 1.0, 1, 0, 0), (38, 0.8, 15, 0.0, 60, 0.0, 1, 0, 0),
+    (120, 0.7, 20, 0.8, 0, 0.0, 1, 0, 0), (30, 0.9, 6, 1.0, 70, 0.0, 1, 0, 0), (25, 0.7, 8, 1.0, 12, 1.0, 1, 0, 0), (6, 1.0, 10, 1.0, 50, 0.0, 1, 0, 0), (9, 0.8, 12, 0.0, 15, 0.0, 1, 0, 0), (14, 1.0, 5, 0.0, 30, 0.0, 1, 0, 0),
+    # lists and links in an article
+    (3, 0.0, 4, 1.0, 5, 1.0, 2, 0, 1), (1, 0.0, 1, 1.0, 1, 1.0, 2, 0, 1), (8, 0.0, 2, 1.0, 1, 1.0, 2, 0, 1), (14, 0.0, 60, 0.0, 2, 1.0, 2, 0, 1), (25, 0.0, 3, 1.0, 6, 1.0, 2, 0, 1), (2, 0.0, 50, 0.0, 4, 1.0, 2, 0, 1), (12, 0.0, 2, 0.0, 1, 1.0, 2, 0, 1), (7, 0.0, 5, 1.0, 0, 0.0, 2, 0, 1),
+    (35, 0.1, 10, 1.0, 9, 0.9, 2, 0, 1), (5, 1.0, 4, 1.0, 6, 1.0, 2, 0, 1), (2, 1.0, 1, 1.0, 3, 1.0, 2, 0, 1), (9, 0.8, 7, 1.0, 8, 1.0, 2, 0, 1), (5, 0.0, 30, 0.0, 1, 1.0, 2, 0, 1), (18, 0.0, 9, 0.8, 3, 1.0, 2, 0, 1), (1, 0.0, 3, 0.0, 1, 1.0, 2, 0, 1), (30, 0.6, 20, 0.7, 25, 0.9, 2, 0, 1),
+    # no article and no hints: labels, notices and footers beside link lists, replies with their names and buttons, prose between link lists
+    (1, 0.0, 6, 1.0, 8, 1.0, 1, 0, 0), (3, 0.0, 10, 1.0, 12, 0.9, 1, 0, 0), (2, 0.0, 1, 1.0, 1, 1.0, 1, 0, 0), (4, 0.0, 2, 1.0, 5, 1.0, 1, 0, 0), (9, 0.0, 4, 0.8, 7, 1.0, 1, 0, 0),
+    (12, 0.0, 8, 1.0, 6, 1.0, 1, 0, 0), (16, 0.0, 1, 1.0, 3, 1.0, 1, 0, 0), (7, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0), (9, 0.0, 5, 0.9, 0, 0.0, 1, 0, 0), (5, 0.2, 1, 1.0, 0, 0.0, 1, 0, 0),
+    (14, 0.0, 2, 0.0, 1, 0.0, 1, 0, 0), (18, 0.0, 3, 0.0, 2, 0.0, 1, 0, 0), (2, 0.0, 14, 0.0, 18, 0.0, 1, 0, 0), (3, 0.0, 1, 0.0, 25, 0.0, 1, 0, 0),
+    (1, 0.0, 18, 0.0, 3, 0.0, 1, 0, 0), (2, 0.0, 1, 1.0, 14, 0.0, 1, 0, 0), (11, 0.0, 3, 0.0, 1, 1.0, 1, 0, 0),
+    (120, 0.0, 4, 1.0, 6, 1.0, 1, 0, 1), (60, 0.05, 10, 1.0, 0, 0.0, 1, 0, 1), (45, 0.0, 8, 1.0, 9, 1.0, 1, 0, 1), (70, 0.0, 2, 0.0, 1, 1.0, 1, 0, 1), (38, 0.0, 3, 1.0, 50, 0.0, 1, 0, 1),
+    (5, 0.0, 6, 1.0, 80, 0.0, 1, 0, 1), (7, 0.0, 1, 1.0, 45, 0.0, 1, 0, 1), (4, 0.0, 1, 1.0, 4, 0.2, 1, 0, 1), (5, 0.2, 4, 0.0, 4, 0.0, 1, 0, 1), (6, 0.0, 10, 1.0, 60, 0.1, 1, 0, 1), (10, 0.0, 50, 0.0, 2, 1.0, 1, 0, 1),
+    (8, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1), (14, 0.0, 70, 0.0, 65, 0.0, 1, 0, 1), (20, 0.0, 40, 0.0, 25, 0.0, 1, 0, 1), (3, 0.0, 45, 0.0, 38, 0.0, 1, 0, 1), (28, 0.0, 35, 0.0, 40, 0.0, 1, 0, 1),
+    (30, 0.0, 5, 0.0, 0, 0.0, 1, 0, 1), (24, 0.0, 4, 0.0, 2, 1.0, 1, 0, 1), (26, 0.0, 3, 1.0, 5, 0.0, 1, 0, 1), (2, 0.0, 3, 1.0, 60, 0.0, 1, 0, 1), (3, 0.0, 8, 1.0, 45, 0.0, 1, 0, 1),
+    (1, 0.0, 5, 0.0, 90, 0.0, 1, 0, 1), (3, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1), (2, 0.0, 0, 0.0, 40, 0.0, 1, 0, 1), (90, 0.0, 9, 0.0, 100, 0.0, 1, 0, 1),
+    (30, 0.0, 60, 0.0, 5, 1.0, 1, 0, 1), (20, 0.0, 80, 0.0, 3, 1.0, 1, 0, 1), (14, 0.0, 50, 0.0, 8, 1.0, 1, 0, 1), (40, 0.0, 70, 0.0, 1, 1.0, 1, 0, 1),
+    (12, 0.0, 12, 0.0, 15, 0.0, 1, 0, 1), (9, 0.0, 11, 0.0, 10, 0.0, 1, 0, 1), (6, 0.0, 5, 0.0, 6, 0.0, 1, 0, 1),
     # boilerplate by class that holds nearly all of the text is a frame of the page
     (100, 0.0, 70, 0.0, 80, 0.0, 2, 0.08, 1), (6, 0.0, 30, 0.0, 80, 0.0, 2, 0.08, 1), (90, 0.0, 60, 0.0, 80, 0.0, 1, 0.08, 1), (50, 0.0, 70, 0.0, 60, 0.0, 2, 0.12, 0),
     (70, 0.0, 50, 0.0, 60, 0.0, 1, 0.12, 0), (40, 0.0, 60, 0.0, 50, 0.0, 1, 0.5, 0), (40, 0.0, 60, 0.0, 50, 0.0, 2, 0.5, 0),
@@ -65,7 +84,7 @@ LABELLED = (
 
 def train() -> Tree:
     table = np.array(LABELLED, float)
-    return Tree(table[:, :-1], table[:, -1], depth=6)
+    return Tree(table[:, :-1], table[:, -1], depth=12)
 
 
 def _hinted(name: str, attributes: str) -> bool:

@@ -282,6 +282,28 @@ def test_tree_fits_its_table():
     assert ((html.train().predict(table[:, :-1]) > 0.5) == table[:, -1]).all()
 
 
+def test_tree_weighs_words_and_neighbours():
+    model, table = html.train(), np.array(html.LABELLED, float)
+    assert {0, 2, 4, 5} <= set(model.feature)
+    prose = "long prose of the text with words " * 12
+    page = (f"<body><div class=top><a>Home</a> <a>News</a></div><div>Topics</div><ul><li><a>one</a></li><li><a>two three</a></li></ul><h1>The title of this</h1><p>{prose}</p><h2>Second part</h2>"
+            f"<p>{prose}</p><p>A short one here.</p><p>{prose}</p><div><a>Older text</a></div><div class=replies><p>Anna</p><p>I liked this text a lot and my friend did as well</p><p><a>Reply</a></p>"
+            "<p>Ben</p><p>Not true at all, as everyone knows</p><p><a>Reply</a></p></div><div>Follow us</div><ul><li><a>x</a><li><a>y z</a></ul><div class=foot>2024 Example Inc. All rights reserved</div>")
+    texts, features = html.blocks(page)
+    keep = lambda tree_, x: [t for t, p in zip(texts, tree_.predict(x), strict=True) if p > 0.5]
+    long = prose.strip()
+    assert keep(model, features) == ["The title of this", long, "Second part", long, "A short one here.", long]
+    for gone in ([0], [2, 3, 4, 5]):
+        less, seen = table[:, :-1].copy(), features.copy()
+        less[:, gone], seen[:, gone] = 0, 0
+        blind = tree.Tree(less, table[:, -1], depth=12)
+        assert ((blind.predict(less) > 0.5) != table[:, -1]).any() and keep(blind, seen) != keep(model, features)
+    draw = np.random.default_rng(0)
+    some = np.column_stack([draw.geometric(0.03, 5000) if k % 2 == 0 else draw.random(5000) for k in range(6)] + [np.full(5000, 2), np.zeros(5000)])
+    some[:, 1] /= 2
+    assert model.predict(some).min() == 1  # in an article, all text that is not boilerplate or links stays
+
+
 @pytest.mark.parametrize("fields,rule", [(("text",), "first"), (("source", "text"), "last")])
 def test_section_tokens(spark, odd, fields, rule):
     import public_tokenizers
