@@ -65,6 +65,21 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.collocations import collocations
+    return collocations(_table(spark, folder, "documents"))
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.manifest import verified_rows
+    return verified_rows(_table(spark, folder, "documents"))
+
+
+def op13_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.urls import judged_pages
+    return judged_pages(_table(spark, folder, "pages"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -81,5 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_section_tokens": op9_section_tokens,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_collocations": op11_collocations,
+    "op12_manifest": op12_manifest,
+    "op13_url_verdicts": op13_url_verdicts,
     "pipeline": pipeline,
 }
