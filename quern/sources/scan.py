@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.names import q, standardise_headers, text, unique_headers
+from quern.sources.quoted import quoted_records
 
 # Extensions, delimiters in order of preference, wrapper keys, and text that reads as missing.
 TEXT_EXTENSIONS = {".csv", ".tsv", ".txt", ".tab"}
@@ -91,22 +92,29 @@ def best_delimiter(lines: list[str]) -> str:
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
                    na_tokens=NA_TOKENS, infer_types: bool = True, shape: TextShape | None = None) -> DataFrame:
     """SRC-1: every column is read as text, short rows are padded, rows with too many fields are skipped; then headers
-    and types follow our own rules. Files are split over tasks, unless a line of them leaves a quote open: then a field
-    goes on in the next line, and each file is read as a whole."""
+    and types follow our own rules. Files are split over tasks, also where quoted fields hold line breaks (see quoted.py).
+    Only files with such fields that also hold lone carriage returns, which a reader may take for line breaks or not, are
+    read as a whole."""
     shape = shape or text_shape(spark, path)
     encoding = encoding or shape.encoding
     delimiter = delimiter or ("\t" if os.path.splitext(path)[1].lower() in (".tsv", ".tab")
                               else sniff_delimiter(spark, path, encoding))
     reader = (spark.read.option("sep", delimiter).option("encoding", READ_AS.get(encoding, encoding)).option("mode", "PERMISSIVE").option("columnPruning", False)
               .option("quote", '"').option("escape", '"').option("multiLine", shape.open_quotes))
+    by_split = shape.open_quotes and spark.read.option("lineSep", "\n").text(path).count() == shape.lines
     header = reader.csv(path).first()
     if header is None:
         raise ValueError(f"{path!r} holds no rows")
     marks = str.maketrans(_C1, _CP1252) if encoding == "cp1252" else {}
     names = unique_headers([h.lstrip(chr(0xFEFF)).translate(marks) if h else h for h in header])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_CORRUPT, T.StringType())])
-    df = (reader.option("header", True).option("enforceSchema", True).schema(schema)
-          .option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
+    if by_split:
+        options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+        ddl = ", ".join(f"{q(f.name)} string" for f in schema.fields)
+        df = quoted_records(spark, path, delimiter, READ_AS.get(encoding, encoding)).select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+    else:
+        df = (reader.option("header", True).option("enforceSchema", True).schema(schema)
+              .option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
     # separators outside quotes in the raw line of a row that does not fit
     mark = text(delimiter)
     bare = f"regexp_replace({_CORRUPT}, '\"([^\"]|\"\")*\"', '')"
