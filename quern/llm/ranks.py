@@ -22,9 +22,14 @@ def ranked(rows: DataFrame, group: list[str], order: list[Column], numbered: boo
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("held").over(whole.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select("task", *group, "begin", before.alias("before"), F.sum("held").over(whole).alias("size"))
-    if numbered:
-        names = ranked(runs.select(*group).distinct(), [], [F.col(c).asc_nulls_first() for c in group])
-        runs = _same(runs, names.select(*group, F.col("rank").alias("number")), group)
+    if numbered:   # groups are in order within a task and over tasks, so a group's number counts the groups that began before it
+        inside = Window.partitionBy("task").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+        new = F.when(F.col("before") == 0, 1).otherwise(0)
+        runs = runs.withColumn("nth", F.coalesce(F.sum(new).over(inside), F.lit(0)))
+        begun = runs.groupBy("task").agg(F.sum(new).alias("begun"))   # a row for each task
+        earlier = F.coalesce(F.sum("begun").over(Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        runs = runs.join(begun.select("task", earlier.alias("earlier")), "task")
+        runs = runs.withColumn("number", F.max(F.when(F.col("before") == 0, F.col("earlier") + F.col("nth"))).over(whole)).drop("nth", "earlier")
     joined = _same(placed.withColumn("task", F.shiftright("place", 33)), runs, ["task", *group])
     return joined.withColumn("rank", F.col("place") - F.col("begin") + F.col("before")).drop("task", "place", "begin", "before")
 

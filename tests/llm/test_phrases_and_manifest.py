@@ -136,14 +136,14 @@ def proved(rows):
 MADE = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-@pytest.mark.parametrize("n", [0, 1, 8, 9, 70, 600])
-def test_manifest(spark, n):
+@pytest.mark.parametrize(("n", "levels"), [(0, 4), (1, 4), (9, 4), (70, 1), (600, 1), (600, 4)])
+def test_manifest(spark, n, levels):
     draw = random.Random(n)
     rows = [(draw.choice([None, 1, 2, 7]) if i % 40 == 3 else i, draw.choice(["s", None]), draw.choice(["en", "en", "en", "é", "z", None]), None if i % 9 == 0 else i,
              draw.choice([None, "", "Some Text", "é" * 3 + "X", "q" * 40000])) for i in range(n)]
     rows += [(5, "s", "en", 1, "Twice")] * (n // 3)
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").withColumns({c: F.lit("z") for c in ("number", "idx", "path", "digest")})
-    got = manifest.verified_rows(docs.repartition(5)).select(*MADE).collect()
+    got = manifest.verified_rows(docs.repartition(5), levels=levels).select(*MADE).collect()
     assert sorted([tuple(r) for r in got], key=str) == proved(rows)
 
 
@@ -157,8 +157,9 @@ def test_many_groups_have_an_upper_tree(spark):
 def test_proofs_of_some_leaves(spark):
     docs = spark.range(500).selectExpr("id", "cast(id % 3 as string) AS lang", "sha2(cast(id as string), 256) AS leaf")
     made = manifest.build(docs, "lang", [docs["id"].asc()])
-    got = manifest.proofs(made, made.leaves.where("id IN (7, 8, 499)"), ["id", "leaf"]).select("id", manifest.fold(F.col("leaf"), F.col("path")).alias("up"), "root").collect()
-    assert sorted(r.id for r in got) == [7, 8, 499] and all(r.up == r.root for r in got)
+    got = manifest.proofs(made, made.leaves.where("id IN (7, 8, 499)"), ["id", "leaf"]).collect()
+    assert sorted(r.id for r in got) == [7, 8, 499]
+    assert all(manifest.fold(r.leaf, [side.asDict() for side in r.path[::-1]]) == r.root and r.digest == r.leaf for r in got)
 
 
 def test_ranks_of_a_hot_group(spark):
