@@ -6,16 +6,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.names import double, q, take_name, text
+from quern.functions.lineage import cut
+from quern.functions.names import double, q, take_name
 from quern.functions.types import as_double, families, infinite_to_null
 from quern.operators import steps as S
 from quern.operators.charts import hash_order
+from quern.operators.duplicates import distinct_rows, numbered_copies
 from quern.operators.facts import DatasetFacts
 from quern.operators.inference import Inference
 from quern.operators.quantiles import agg_row, order_statistics
+from quern.operators.ranks import ranked
 from quern.operators.recipe import MISSING, cap_bounds, date_parts, scale_expressions, simple_fills
 from quern.operators.repair import RepairPlan
 
@@ -35,6 +38,11 @@ class Groups:
     passthrough: list[str] = field(default_factory=list)
 
 
+# From here on a column of numbers is skewed.
+SKEWED = 0.8
+OUTLIERS_PCT = 2.0
+
+
 def _number(f) -> bool:
     return f.semantic.startswith("numerical")
 
@@ -47,7 +55,7 @@ GROUP_TESTS = (
     ("datetime", lambda f, r: f.semantic == "datetime"),
     ("binary", lambda f, r: f.semantic == "boolean" or f.is_binary or r.encoding == "encode_binary"),
     ("log1p", lambda f, r: _number(f) and "transform_log1p" in r.scaling),
-    ("skewed", lambda f, r: _number(f) and f.has_numeric and max(abs(f.skewness) / 0.8, f.outlier_pct / 2.0) >= 1),
+    ("skewed", lambda f, r: _number(f) and f.has_numeric and (abs(f.skewness) >= SKEWED or f.outlier_pct >= OUTLIERS_PCT)),
     ("gaussian", lambda f, r: _number(f)),
     ("high_card", lambda f, r: r.encoding == "encode_frequency_or_target" or (f.semantic.startswith("categorical") and f.unique > 10)),
     ("ordinal", lambda f, r: f.semantic == "categorical_ordinal"),
@@ -83,7 +91,7 @@ class GroupPipeline:
         df = infinite_to_null(df)
         df = S.Projection(drop=set(self.groups.drop))(df)
         if deduplicate:
-            df = df.dropDuplicates()
+            df = distinct_rows(df)
         step, taken = S.Projection(), {c.lower() for c in df.columns}
         for c in self.groups.datetime:
             step.add += [(c, take_name(n, taken), f"coalesce({e}, 0)") for n, e in date_parts(c, self.facts)]
@@ -200,14 +208,14 @@ class PreparedModel:
 
 # ---------------------------------------------------------------------- split
 
-def class_quotas(counts: dict, n: int, n_test: int) -> dict:
-    """Largest-remainder share of the test rows per class; ties to the larger class, then by name."""
-    exact = {k: n_test * c / n for k, c in counts.items()}
-    out = {k: math.floor(v) for k, v in exact.items()}
-    order = sorted(counts, key=lambda k: (-(exact[k] - out[k]), -counts[k], str(k)))
-    for k in order[:n_test - sum(out.values())]:
-        out[k] += 1
-    return out
+def class_quotas(classes: DataFrame, n: int, n_test: int) -> DataFrame:
+    """`classes` (y, size) with `quota`: its share of the test rows by largest remainder, ties to the larger class, then by name."""
+    exact = f"({n_test}D * size / {n}D)"
+    floors = cut(classes.selectExpr("y", "size", f"cast(floor({exact}) AS bigint) AS least", f"{exact} - floor({exact}) AS rest"))
+    owed = n_test - (agg_row(floors, ["sum(least)"])[0] or 0)
+    order = [F.col("rest").desc(), F.col("size").desc(), F.col("y")]
+    placed = ranked(floors.withColumnRenamed("size", "rows"), [], order)
+    return placed.selectExpr("y", "rows", "least", f"least + cast(rank < {owed} AS int) AS quota")
 
 
 def split(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42, row_id: str | None = None
@@ -216,63 +224,39 @@ def split(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42, ro
     out of both parts.
 
     A row's place depends on a seeded hash of its identity (`row_id`, else all its columns with a number for each copy), so
-    the split does not depend on partitions and survives recomputation. Small numbers of classes meet their quotas by an
-    exact order statistic of the hash. Beyond LISTED_CLASSES the quotas are a table with a row per class: each class is
-    ordered by its hash in windows, and the classes are as many as the rows that make them heavy are few."""
+    the split does not depend on partitions and survives recomputation. Every class meets its quota exactly, however many
+    classes there are: the hashes of all classes are ranked together in one sort by ranges of (class, hash), in which a class
+    with most of the rows spans many tasks, and the hash at each class's quota is its limit. Limits of classes with more than
+    one in HEAVY of the rows are broadcast, at most HEAVY of them; the others are joined by class."""
     df = df.where(f"{q(target)} IS NOT NULL")
     fams = families(df)
-    ident = q(row_id) if row_id else "to_json(struct(*))"
-    hashed = df.withColumn("__i", F.expr(ident))
-    if row_id is None:   # equal rows must not share a hash; only repeated rows are numbered
-        copies = F.row_number().over(Window.partitionBy("__i").orderBy("__i"))
-        hashed = hashed.withColumn("__i", F.concat("__i", F.lit("#"), copies.cast("string")))
+    hashed = df.withColumn("__i", F.expr(q(row_id))) if row_id else numbered_copies(df, "to_json(struct(*))", "__i")
     hashed = hashed.withColumn("__h", F.expr(hash_order("__i", seed))).drop("__i")
     y = f"cast({q(target)} AS string)"
-    n, classes = agg_row(hashed, ["count(*)", f"count(DISTINCT {y})"])
+    classes = cut(hashed.groupBy(F.expr(y).alias("y")).agg(F.count("*").alias("size")))
+    n, found, least = agg_row(classes, ["coalesce(sum(size), 0)", "count(*)", "min(size)"])
     n_test = math.ceil(n * test_size)
     numeric = fams[target] in ("integer", "real", "boolean")
-    counts: dict[str, int] = {"": n}
-    stratify = 0 < classes <= min(n_test, n - n_test) and (not numeric or classes <= 20)
-    if stratify and classes > LISTED_CLASSES:
-        return _split_many(hashed, y, n, n_test)
-    if stratify:
-        found = {r["y"]: r["count"] for r in hashed.groupBy(F.expr(y).alias("y")).count().collect()}
-        stratify = min(found.values()) >= 2
-        counts = found if stratify else counts
-    quotas = {k: v for k, v in class_quotas(counts, n, n_test).items() if v} if n else {}
-    view = lambda k: f"CASE WHEN {y} = {text(k)} THEN cast(__h AS double) END" if stratify else "cast(__h AS double)"
-    limits = order_statistics(hashed, {k: (view(k), [v - 1]) for k, v in quotas.items()}, {k: counts[k] for k in quotas})
-    arms = {k: double(limits[k][quotas[k] - 1]) for k in quotas}
-    if stratify:
-        limit = "CASE " + y + " " + " ".join(f"WHEN {text(k)} THEN {v}" for k, v in arms.items()) + " ELSE -1D END"
-    else:
-        limit = arms.get("", "-1D")
-    return _parts(hashed, f"cast(__h AS double) <= {limit}")
-
-
-LISTED_CLASSES = 2_000
+    if not n_test:
+        return _parts(hashed, "false")
+    if not (0 < found <= min(n_test, n - n_test) and least >= 2 and (not numeric or found <= 20)):
+        limit = order_statistics(hashed, {"": ("cast(__h AS double)", [n_test - 1])}, {"": n})[""][n_test - 1]
+        return _parts(hashed, f"cast(__h AS double) <= {double(limit)}")
+    quotas = cut(class_quotas(classes, n, n_test).where("quota > 0"))
+    near = ranked(hashed.select(F.expr(y).alias("y"), "__h"), ["y"], [F.col("__h")]).where(f"rank + 1 - floor({n_test}D * size / {n}D) IN (0, 1)")
+    limits = cut(near.join(quotas, "y").where("rank + 1 = quota").selectExpr("y AS __y", "rows AS __rows", "__h AS __limit"))
+    heavy = limits.where(f"__rows > {n // HEAVY}").select("__y", "__limit")
+    placed = (hashed.withColumn("__y", F.expr(y)).join(F.broadcast(heavy), "__y", "left"))
+    light = limits.where(f"__rows <= {n // HEAVY}").selectExpr("__y", "__limit AS __other")
+    met = placed.where("__limit IS NOT NULL").withColumn("__other", F.lit(None).cast("long"))
+    rest = placed.where("__limit IS NULL").join(light, "__y", "left")
+    return _parts(met.unionByName(rest), "coalesce(__h <= coalesce(__limit, __other), false)")
+
+
+HEAVY = 1_000
 
 
 def _parts(hashed: DataFrame, test: str) -> tuple[DataFrame, DataFrame]:
     marked = hashed.withColumn("__test", F.expr(test))
     extra = [c for c in marked.columns if c.startswith("__")]
     return marked.where("NOT __test").drop(*extra), marked.where("__test").drop(*extra)
-
-
-def _split_many(hashed: DataFrame, y: str, n: int, n_test: int) -> tuple[DataFrame, DataFrame]:
-    """Many classes: each gets the floor of its share; the rows still owed go to the classes with the largest remainders,
-    found as an order statistic over classes. A class of one row cannot be split, so the split is then unstratified."""
-    counts = hashed.groupBy(F.expr(y).alias("__y")).agg(F.count("*").alias("__c"))
-    share = counts.withColumn("__q", F.expr(f"cast(floor({n_test}D * __c / {n}D) AS bigint)")).withColumn(
-        "__r", F.expr(f"{n_test}D * __c / {n}D - __q + __c * 1e-12 + pmod(xxhash64(__y), 1000000) * 1e-19"))
-    least, given, classes = agg_row(share, ["min(__c)", "sum(__q)", "count(*)"])
-    if least < 2:
-        limit = order_statistics(hashed, {"": ("cast(__h AS double)", [n_test - 1])}, {"": n})[""][n_test - 1]
-        return _parts(hashed, f"cast(__h AS double) <= {double(limit)}")
-    owed, edge = n_test - given, 2.0
-    if owed:
-        edge = order_statistics(share, {"": ("__r", [classes - owed])}, {"": classes})[""][classes - owed]
-    quota = share.selectExpr("__y", f"__q + cast(__r >= {double(edge)} AS int) AS __quota")
-    placed = hashed.withColumn("__y", F.expr(y)).join(quota, "__y")
-    order = F.row_number().over(Window.partitionBy("__y").orderBy("__h"))
-    return _parts(placed.withColumn("__n", order), "__n <= __quota")

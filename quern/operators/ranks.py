@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.exchange import cut
+from quern.functions.lineage import cut
 
 
 def ranked(rows: DataFrame, group: list[str], order: list[Column], numbered: bool = False) -> DataFrame:
@@ -16,7 +16,7 @@ def ranked(rows: DataFrame, group: list[str], order: list[Column], numbered: boo
     spans many tasks. A rank is the place in a task plus what earlier tasks hold of the group: one row per task and group. The
     sorted rows are written to the shared folder, which fixes their places. Rows equal in `order` are ranked in any order."""
     keys = [F.col(c).asc_nulls_first() for c in group] + order + [F.rand(11)]
-    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id()))
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id()), needed=True)
     task = F.shiftright("place", 33).alias("task")
     runs = cut(placed.groupBy(task, *group).agg(F.min("place").alias("begin"), F.count(F.lit(1)).alias("held")))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))

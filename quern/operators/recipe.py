@@ -15,6 +15,7 @@ from quern.functions import dates
 from quern.functions.names import double, q, take_name
 from quern.functions.types import as_double, families, infinite_to_null, is_binary_float
 from quern.operators import steps as S
+from quern.operators.duplicates import Repeats, distinct_rows
 from quern.operators.facts import DatasetFacts
 from quern.operators.inference import Inference
 from quern.operators.knn import KnnFill
@@ -74,11 +75,17 @@ class RecipeModel:
 
 
 class DropDuplicates:
-    """REC-3: rows that agree on every remaining column are equal, so keeping any one keeps the same value."""
+    """REC-3: rows that agree on every remaining column are equal, so keeping any one keeps the same value. The table seen last is
+    remembered with its filter of repeated rows, so that fitting and transforming one table looks for them once."""
     streamable = False
 
+    def __init__(self) -> None:
+        self.seen: tuple[DataFrame, Repeats] | None = None
+
     def __call__(self, df: DataFrame) -> DataFrame:
-        return df.dropDuplicates()
+        if self.seen is None or not df.sameSemantics(self.seen[0]):
+            self.seen = (df, Repeats(df))
+        return distinct_rows(df, self.seen[1])
 
 
 @dataclass

@@ -188,8 +188,9 @@ def test_split_without_stratification(spark):
     assert split(lone, "y")[1].count() == 4
 
 
-def test_quotas_sum_up():
-    assert class_quotas({"a": 7, "b": 7, "c": 6}, 20, 4) == {"a": 2, "b": 1, "c": 1}
+def test_quotas_sum_up(spark):
+    made = class_quotas(spark.createDataFrame([("a", 7), ("b", 7), ("c", 6)], "y string, size long"), 20, 4)
+    assert {r.y: r.quota for r in made.collect()} == {"a": 2, "b": 1, "c": 1}
 
 
 def test_statistics_come_from_training_rows(labelled):
