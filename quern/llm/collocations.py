@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quern.llm import exchange as X
 from quern.llm import quotient as Q
-from quern.llm.ranks import ranked
-from quern.llm.words import LOWER, buffer
+from quern.llm.memory import lean, release
+from quern.llm.words import LOWER, buffer, words
+from quern.operators.ranks import ranked
 
 HOT = 1000  # a key that holds more than one in HOT of all words is looked up by broadcast; at most HOT such keys a length
 _WORD = np.ones(256, bool)  # words are runs of anything but \x20, \x09 and what ends a piece
@@ -73,60 +74,92 @@ def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) ->
     return ready.unionByName(tried.where("met IS NULL").drop("met").join(rest, keys).select(*rows.columns, *others))
 
 
+def _dealt(table: pa.Table, n_buckets: int):
+    """The words of a block: every word's entry; and of each entry (a word in a language) the bucket, language and word in the order
+    in which buckets are asked, with the edges of runs of one bucket and language."""
+    codes, found, fresh, at = _words(table["text"])
+    spoken, names = _languages(table["lang"])
+    pairs, entry, counts = np.unique(codes * len(names) + np.repeat(spoken, np.diff(at)), return_inverse=True, return_counts=True)
+    hashes = words(*buffer(found), kind=np.ones(256, bool))[0] if len(found) else np.zeros(0, np.uint64)
+    bucket = (hashes[pairs // len(names)] % np.uint64(n_buckets)).astype(np.int64) if len(pairs) else pairs
+    order = np.lexsort((pairs // max(1, len(names)), pairs % max(1, len(names)), bucket))
+    bucket, lang = bucket[order], pairs[order] % max(1, len(names))
+    edges = np.concatenate(([0], np.flatnonzero((np.diff(bucket) != 0) | (np.diff(lang) != 0)) + 1, [len(order)])) if len(order) else np.zeros(1, np.int64)
+    return entry, order, bucket[edges[:-1]], [names[k] for k in lang[edges[:-1]]], edges, found.take(pa.array(pairs[order] // max(1, len(names)))), counts[order], fresh
+
+
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5
                   ) -> tuple[DataFrame, DataFrame, int]:
     """Words (id from 1, lang, word, f, n: words of the language) with f >= least, phrases (ids, a) of 2 to `longest` words with
     a >= least, and the number of all words.
 
-    Texts are dealt to blocks. A block counts its words; sums over blocks number the words that reach `least`, and no other word can
-    be part of a phrase that does. A block then gets the numbers of its own words, packs every phrase of numbered words, and sends
-    each shard one sorted filter per length; a shard merges them into one and gives back the sequences that reach `least`. Numbers
-    are unique over all languages. Shards grow in number with the texts; a phrase that every text has is one entry a block."""
+    Texts are dealt to blocks. A block sends its words and their counts to buckets of words; a bucket adds them up, numbers the words
+    that reach `least`, and answers with these numbers: no other word can be part of a phrase that reaches it. The block then packs
+    every phrase of numbered words and sends each shard one sorted filter per length; a shard merges them into one and gives back
+    the sequences that reach `least`. Numbers are unique over all languages. Buckets and shards grow in number with the texts; a
+    word or phrase that every text has is one entry a block."""
     size = X.text_bytes(docs, text)
-    n_blocks, n_shards = X.sizes(size, larger=2)
+    n_blocks, n_shards = X.sizes(size)
     shard_bits = n_shards.bit_length() - 1
     dealt = X.blocks(docs, {"lang": lang, "text": text}, n_blocks)
 
-    def block_words(table: pa.Table) -> pa.Table:
-        codes, found, _, at = _words(table["text"])
-        spoken, names = _languages(table["lang"])
-        both = codes * len(names) + np.repeat(spoken, np.diff(at))
-        pairs, counts = np.unique(both, return_counts=True)
-        return pa.table({"block": pa.array(np.full(len(pairs), table["block"][0].as_py()), pa.int32()),
-                         "lang": pa.array(names, pa.string()).take(pa.array(pairs % len(names))),
-                         "word": found.take(pa.array(pairs // len(names))).cast(pa.string()), "f": pa.array(counts, pa.int64())})
-
-    held = X.cut(dealt.groupBy("block").applyInArrow(block_words, "block int, lang string, word string, f long"))
-    spoken = held.groupBy("lang").agg(F.sum("f").alias("n"))
+    def ask(table: pa.Table) -> pa.Table:
+        _, _, bucket, names, edges, spelled, counts, _ = _dealt(table, n_shards)
+        cuts = pa.array(edges, pa.int32())
+        return pa.table([pa.array([table["block"][0].as_py()] * len(bucket), pa.int32()), pa.array(bucket, pa.int32()), pa.array(names, pa.string()),
+                         pa.ListArray.from_arrays(cuts, spelled.cast(pa.string())), pa.ListArray.from_arrays(cuts, pa.array(counts, pa.int64()))],
+                        names=["block", "bucket", "lang", "words", "n"])
+
+    def number(table: pa.Table) -> pa.Table:
+        bucket, known, out = table["bucket"][0].as_py(), 0, []
+        for name in table["lang"].unique().to_pylist():
+            mine = table.filter(pc.equal(table["lang"], name)).combine_chunks()
+            lists = mine["words"].combine_chunks()
+            coded = lists.flatten().dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            total = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(total, codes, mine["n"].combine_chunks().flatten().to_numpy())
+            enough = np.flatnonzero(total >= least)
+            ids = np.zeros(len(total), np.int32)
+            ids[enough] = known + 1 + np.arange(len(enough))
+            known += len(enough)
+            cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            out += [(block, name, ids[codes[a:b]], None, None) for block, a, b in zip(mine["block"].to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+            out.append((-1, name, ids[enough], coded.dictionary.take(pa.array(enough)).to_pylist(), total[enough]))
+            out.append((-2, name, None, None, [int(total.sum())]))
+        columns = list(zip(*out, strict=True))
+        kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
+        return pa.table([pa.array([bucket] * len(out), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                        names=["bucket", "block", "lang", "ids", "words", "f"])
+
+    answers = X.cut(dealt.groupBy("block").applyInArrow(lean(ask), "block int, bucket int, lang string, words array<string>, n array<long>")
+                    .groupBy("bucket").applyInArrow(lean(number), "bucket int, block int, lang string, ids array<int>, words array<string>, f array<long>"))
+    spoken = X.cut(answers.where("block = -2").groupBy("lang").agg(F.sum(F.col("f")[0]).alias("n")))
     total = spoken.agg(F.sum("n")).first()[0] or 0
-    frequent = held.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    frequent = ranked(frequent, [], [F.col("lang"), F.col("word")]).select((F.col("rank") + 1).alias("id"), "lang", "word", "f", "size")
+    most = (answers.where("block = -1").groupBy("bucket").agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0] or 0) + 1
+    frequent = answers.where("block = -1").select("bucket", "lang", F.explode(F.arrays_zip("ids", "words", "f")).alias("w")).select(
+        (F.col("bucket").cast("long") * most + F.col("w.ids")).alias("id"), "lang", F.col("w.words").alias("word"), F.col("w.f").alias("f"))
     frequent = X.cut(_lookup(frequent, spoken, ["lang"], F.col("n") > total // HOT))
-    known = frequent.agg(F.max("size")).first()[0] or 0
-    bits = max(1, int(known).bit_length())
-    numbers = held.select("block", "lang", "word").join(frequent.select("lang", "word", "id"), ["lang", "word"])
+    bits = max(1, (n_shards * most).bit_length())
 
     def block_filters(table: pa.Table, reply: pa.Table) -> pa.Table:
         rows = []
         if table.num_rows and reply.num_rows:
-            codes, found, fresh, at = _words(table["text"])
-            spoken, names = _languages(table["lang"])
-            of_word = np.zeros((len(names), len(found)), np.int64)
-            for k, name in enumerate(names):
-                mine = reply.filter(pc.equal(reply["lang"], name))
-                place = pc.index_in(found, value_set=mine["word"].combine_chunks().cast(pa.large_string()))
-                place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False)
-                ids = np.append(mine["id"].to_numpy(), 0)
-                of_word[k] = ids[place]
-            ids = of_word[np.repeat(spoken, np.diff(at)), codes]
+            entry, order, bucket, names, edges, _, _, fresh = _dealt(table, n_shards)
+            told = dict(zip(zip(reply["bucket"].to_pylist(), reply["lang"].to_pylist(), strict=True), reply["ids"], strict=True))
+            of_entry = np.zeros(len(order), np.int64)
+            for k, name, a, b in zip(bucket.tolist(), names, edges[:-1], edges[1:], strict=True):
+                ids = told[(k, name)].values.to_numpy().astype(np.int64)
+                of_entry[order[a:b]] = np.where(ids > 0, k * most + ids, 0)
+            ids = of_entry[entry]
             for n in range(2, longest + 1):
                 begin = _sequences(ids, fresh, n)
                 limbs, counts = Q.tally(Q.permute(Q.pack([ids[begin + k] for k in range(n)], bits), n, bits))
                 own = min(shard_bits, Q.widths(n, bits)[0])
                 shard = limbs[0] >> np.uint64(Q.widths(n, bits)[0] - own) if own else np.zeros(len(counts), np.uint64)
-                edges = np.searchsorted(shard, np.arange((1 << own) + 1, dtype=np.uint64))
+                cuts = np.searchsorted(shard, np.arange((1 << own) + 1, dtype=np.uint64))
                 rows += [(n, k, Q.encode([limb[a:b] for limb in limbs], counts[a:b], n, bits, own))
-                         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))],
                         names=["n", "shard", "filter"])
 
@@ -150,10 +183,12 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
         ids = np.stack(Q.unpack(Q.restore([limb[enough] for limb in limbs], n, bits), n, bits), axis=1).astype(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * n, pa.int32()), pa.array(ids.ravel()))
         yield pa.RecordBatch.from_arrays([lists, pa.array(counts[enough])], ["ids", "a"])
+        release()
 
-    filters = dealt.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(block_filters, "n int, shard int, filter binary")
+    replies = answers.where("block >= 0").select("block", "bucket", "lang", "ids")
+    filters = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lean(block_filters), "n int, shard int, filter binary")
     phrases = X.cut(filters.groupBy("n", "shard").applyInArrow(merge, "ids array<long>, a long"))
-    return frequent.drop("size"), phrases, total
+    return frequent, phrases, total
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
@@ -166,8 +201,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
 
     NULL and blank texts have no words; a NULL language is `und`. Repeated rows count each time. Ties are ranked by phrase in the order
     of its UTF-8 bytes. Other columns are ignored."""
-    words, phrases, total = phrase_counts(docs, text, lang, least, longest)
-    counts = words.select(F.array("id").alias("part"), "f").unionByName(phrases.where(F.size("ids") < longest).select(F.col("ids").alias("part"), F.col("a").alias("f")))
+    known, phrases, total = phrase_counts(docs, text, lang, least, longest)
+    counts = known.select(F.array("id").alias("part"), "f").unionByName(phrases.where(F.size("ids") < longest).select(F.col("ids").alias("part"), F.col("a").alias("f")))
     counts = X.cut(counts)
     inner = (phrases.where(F.size("ids") > 2).select(F.explode(F.array(F.expr("slice(ids, 1, size(ids) - 1)"), F.expr("slice(ids, 2, size(ids) - 1)"))).alias("ids"), "a").distinct())
     left = phrases.join(inner, ["ids", "a"], "left_anti")
@@ -176,13 +211,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
               .withColumn("part", F.slice("ids", F.lit(1), F.col("k"))))
     parted = _lookup(parted, counts, ["part"], hot).withColumnRenamed("f", "l").withColumn("part", F.slice("ids", F.col("k") + 1, F.size("ids")))
     parted = _lookup(parted, counts, ["part"], hot).withColumnRenamed("f", "r").withColumn("id", F.col("ids")[0])
-    spoken = words.select("id", "lang", "n", "f")
+    spoken = known.select("id", "lang", "n", "f")
     parted = _lookup(parted, spoken, ["id"], hot).drop("f")
     big = lambda c: F.col(c).cast("decimal(38,0)")
     parted = parted.withColumn("top", F.lit(1000).cast("decimal(38,0)") * big("a") * big("n")).withColumn("low", big("l") * big("r")).withColumn("score", F.expr("top div low"))
     best = parted.groupBy("ids", "a", "lang", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     spelled = best.select("*", F.posexplode("ids").alias("at", "id"))
-    spelled = (_lookup(spelled, words.select("id", "word", "f"), ["id"], hot)
+    spelled = (_lookup(spelled, known.select("id", "word", "f"), ["id"], hot)
                .groupBy("ids", "a", "lang", "n", "cut").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase")))
     listed = ranked(spelled.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"), ["lang"],
                     [F.col("score").desc(), F.col("a").desc(), F.col("phrase")])

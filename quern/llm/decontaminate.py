@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.ship import ship
 from quern.llm.exchange import cut, slices
+from quern.llm.memory import lean
 from quern.llm.words import ALNUM, Windows, buffer, words
 
 SHINGLE = 3
@@ -41,7 +42,7 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int) ->
                 (pa.int32(), pa.binary(), pa.binary(), pa.string()))], names=["length", "hashes", "window", "item"])
     ship(benchmark.sparkSession)
     own = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(each, "length int, hashes binary, window binary, item string").distinct()
+    return own.mapInArrow(lean(each), "length int, hashes binary, window binary, item string").distinct()
 
 
 class Index:
@@ -121,7 +122,7 @@ def _frequencies(docs: DataFrame, text: str, windows: DataFrame) -> dict[int, in
             seen = np.flatnonzero(total[size])
             yield pa.RecordBatch.from_arrays([pa.array(keys[seen].view(np.int64)), pa.array(total[size][seen])], names=["key", "n"])
 
-    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return {r["key"] % (1 << 64): r["n"] for r in rows.collect()}
 
 
@@ -205,8 +206,8 @@ def _scan(own: DataFrame, sent, id_type: pa.DataType, kind: str, parts: bool) ->
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(np.diff(at)), pa.array(n_hit), pa.array(n_items),
                                                   pa.array(digest), pa.array(n_hit > 0)], names=_NAMES)
     if parts:
-        return own.mapInArrow(scan, "text_key string, first array<long>, length array<long>, items array<string>")
-    return own.mapInArrow(scan, f"doc_id {kind}, {_FIELDS}")
+        return own.mapInArrow(lean(scan), "text_key string, first array<long>, length array<long>, items array<string>")
+    return own.mapInArrow(lean(scan), f"doc_id {kind}, {_FIELDS}")
 
 
 _NONE = _digest([])
@@ -226,7 +227,7 @@ def _merge(own: DataFrame, found: list[DataFrame], id_type: pa.DataType) -> Data
         return pa.table({"text_key": [table["text_key"][0].as_py()], "n_hit": pa.array([_covered(first, length)], pa.int64()),
                          "n_items": pa.array([len(items)], pa.int64()), "items_sha256": [_digest(items)]})
 
-    met = hits.dropDuplicates().groupBy("text_key").applyInArrow(meet, "text_key string, n_hit long, n_items long, items_sha256 string")
+    met = hits.dropDuplicates().groupBy("text_key").applyInArrow(lean(meet), "text_key string, n_hit long, n_items long, items_sha256 string")
     counted = own.select("doc_id", "text_key", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +238,7 @@ def _merge(own: DataFrame, found: list[DataFrame], id_type: pa.DataType) -> Data
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["text_key"], pa.array(np.diff(at))], names=["doc_id", "text_key", "n_words"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    return counted.mapInArrow(count, f"doc_id {kind}, text_key string, n_words long").join(met, "text_key", "left").select(
+    return counted.mapInArrow(lean(count), f"doc_id {kind}, text_key string, n_words long").join(met, "text_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items_sha256", F.lit(_NONE)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 

@@ -14,12 +14,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm import exchange as X
 from quern.llm.components import components
+from quern.llm.memory import lean
 from quern.llm.words import Windows, buffer, mix, words
 
 _U = np.uint64
 OCTAVE = 7  # steps of a document frequency's code in each doubling; code 0: only one document has the shingle
 DAMPING = 4
 CHUNK = 50_000  # elements of the vectors compared with one another in one go
+VECTOR = 50  # elements that a vector counts for besides its own, so that a chunk holds no more than CHUNK / VECTOR vectors or so
 
 
 def _shingles(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +171,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         ids = table["doc_id"] if table.num_rows else pa.array([], id_type)
         return pa.table([ids, *(pa.array(c, t) for c, t in zip(out, types[1:], strict=True))], names=names)
 
-    answers = (dealt.groupBy("block").applyInArrow(ask, X.QUESTION)
-               .groupBy("bucket").applyInArrow(X.answerer(np.uint32, decide), X.ANSWER))
+    answers = (dealt.groupBy("block").applyInArrow(lean(ask), X.QUESTION)
+               .groupBy("bucket").applyInArrow(lean(X.answerer(np.uint32, decide)), X.ANSWER))
     every = X.cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        weigh, f"doc_id {kind.simpleString()}, vector binary, weight double, keys binary, codes binary, times binary"))
+        lean(weigh), f"doc_id {kind.simpleString()}, vector binary, weight double, keys binary, codes binary, times binary"))
     vectors = X.cut(every.where("keys is not null").groupBy("vector").agg(
         *(F.first(c).alias(c) for c in ("weight", "keys", "codes", "times"))))
 
@@ -189,7 +191,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch["vector"], pa.array(out, pa.list_(pa.int64()))],
                                              names=["vector", "band"])
 
-    held = X.cut(vectors.mapInArrow(sample, "vector binary, band array<long>")
+    held = X.cut(vectors.mapInArrow(lean(sample), "vector binary, band array<long>")
                  .select("vector", F.explode("band").alias("band")))
     sizes = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = held.join(sizes, "band")
@@ -207,7 +209,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     side = {s: vectors.select(F.col("vector").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("keys", "codes", "times")))
             for s in "ab"}
-    stars = X.cut(looks.join(side["a"], "a").join(side["b"], "b").mapInArrow(compare, "a binary, b binary"))
+    stars = X.cut(looks.join(side["a"], "a").join(side["b"], "b").mapInArrow(lean(compare), "a binary, b binary"))
     found = components(stars)
 
     # Buckets that hold more than one component: those outside the pivot's component against all.
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lengths = vectors.select("vector", (F.octet_length("keys") / KEY).cast("long").alias("n"))
     mixed = (named.join(lengths, "vector").groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
-        F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks")).where("low <> high").join(main, "band"))
+        F.ceil(F.sum(F.col("n") + VECTOR) / CHUNK).cast("int").alias("chunks")).where("low <> high").join(main, "band"))
     members = X.cut(named.join(mixed, "band").select(
         "band", "vector", "component", "chunks", (F.col("component") != F.col("main")).alias("outside"),
         F.pmod(F.xxhash64("vector"), "chunks").cast("int").alias("chunk")))
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         b.append(right_[y]["vector"])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    more = X.cut(left.unionByName(right).groupBy("band", "i", "j").applyInArrow(products, "a binary, b binary"))
+    more = X.cut(left.unionByName(right).groupBy("band", "i", "j").applyInArrow(lean(products), "a binary, b binary"))
     joined = named.select(F.col("vector").alias("node"), "component").distinct()
     if not more.isEmpty():  # these links are between components
         between = more.join(joined.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(

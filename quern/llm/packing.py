@@ -16,9 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.ship import ship
 from quern.llm.exchange import cut, slices
+from quern.llm.memory import lean
 from quern.llm.tokens import WordEncoder
 
-MAX_QUEUES = 1024  # sources beyond that many share queues by hash
+MAX_QUEUES = 1024  # of more sources, the half of this number with the most text keep their own queues and the others share the rest
 MAX_STRETCHES = 4096
 STRETCH = 1024  # sequences at least in each stretch
 BATCH_IDS = 500_000  # ids handed on at once
@@ -92,7 +93,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     Mixture. Each source is a queue of tokens. Every sequence takes from each queue by deficit round-robin, in
     `proportions` (default: the sources' shares of all tokens); deficits go on from sequence to sequence and across
     partitions. A source that runs out leaves its share to the rest; a source without a proportion waits until the others
-    have run out. NULL is a source like any other. Above MAX_QUEUES sources, sources share queues by hash.
+    have run out. NULL is a source like any other. Above MAX_QUEUES sources, the MAX_QUEUES // 2 with the most text keep queues
+    of their own; the others, each smaller than all of these, share queues by hash, and only the shared queue's share is held.
 
     Documents keep the order of partitions within a queue. Only sums per partition and queue are shuffled: a token's
     place in its queue names its sequence, so no task sees more than its own documents, however large a source is.
@@ -102,7 +104,12 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     ship(spark)
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").cast("string").alias("queue"))
     if proportions is None and own.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        own = own.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
+        half = MAX_QUEUES // 2
+        size = own.groupBy("queue").agg(F.sum(F.octet_length("text")).alias("bytes"))
+        large = [r["queue"] for r in size.orderBy(F.col("bytes").desc_nulls_last(), "queue").limit(half).collect()]
+        named = F.col("queue").isin([q for q in large if q is not None])
+        kept = F.coalesce(named, F.lit(None in large))
+        own = own.withColumn("queue", F.when(kept, F.col("queue")).otherwise(F.concat(F.lit("shared "), F.pmod(F.xxhash64("queue"), F.lit(half)).cast("string"))))
     kind = own.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
@@ -125,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     pa.array(begin, pa.int64()), pa.array(np.full(len(rows), ids.itemsize), pa.int32())],
                     names=["part", "queue", "doc_id", "ids", "n", "begin", "width"])
 
-    encoded = cut(own.mapInArrow(encode, f"part int, queue string, doc_id {kind.simpleString()}, ids binary, n long, begin long, width int"))
+    encoded = cut(own.mapInArrow(lean(encode), f"part int, queue string, doc_id {kind.simpleString()}, ids binary, n long, begin long, width int"))
     sums = encoded.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     starts = sums.select("part", "queue", (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     queues = sorted(((r["queue"], r["n"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
@@ -181,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     small = sums.count() <= MAX_BROADCAST
     starts = starts.withColumnRenamed("part", "p").withColumnRenamed("queue", "q")
     met = encoded.join(F.broadcast(starts) if small else starts, (F.col("part") == F.col("p")) & F.col("queue").eqNullSafe(F.col("q")))
-    return met.select("doc_id", "queue", "ids", "width", "n", "begin", "base").mapInArrow(place, fields)
+    return met.select("doc_id", "queue", "ids", "width", "n", "begin", "base").mapInArrow(lean(place), fields)
 
 
 _NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

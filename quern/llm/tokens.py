@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from quern.llm.words import buffer, words
 
-CACHE = 200_000  # words, and parts of words, whose ids a worker remembers
+CACHE = 150_000  # words, and parts of words, whose ids a worker remembers; never more, also within a batch
 # The pre-tokenizer whose parts are known here: letters, single digits and the rest, but for contractions with "'".
 KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[!-&(-~\xdf-\xf6\xf8-\xff]+")
@@ -59,14 +59,16 @@ class WordEncoder:
         data, offsets = buffer(texts)
         hashes, first, last, at = words(data, offsets)
         keys, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.ids) > CACHE:
+        if len(self.ids) + min(len(keys), CACHE // 2) > CACHE:   # a batch of common words still finds room
             self.ids.clear()
         known = [self.ids.get(k) for k in keys.tolist()]
         new = [i for i, v in enumerate(known) if v is None]
         raw = data.tobytes()
         fresh = [raw[a:b].decode() for a, b in zip(first[place[new]].tolist(), last[place[new]].tolist(), strict=True)]
         for i, k, v in zip(new, keys[new].tolist(), self._words(fresh), strict=True):
-            known[i] = self.ids[k] = v
+            known[i] = v
+            if len(self.ids) < CACHE:
+                self.ids[k] = v
         if not known:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         sizes = np.array([len(v) for v in known]) // 4
@@ -80,8 +82,6 @@ class WordEncoder:
         out: list[bytes | None] = [None] * len(fresh)
         rest, parts, own = [], self.parts, self._part
         special = self.special.search("\n".join(fresh)) is not None
-        if len(self.parts) > CACHE:
-            self.parts.clear()
         for i, word in enumerate(fresh):
             if special and self.special.search(word):
                 out[i] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -103,5 +103,7 @@ class WordEncoder:
     def _part(self, part: str) -> bytes:
         made = self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.letters))
         ids = array("I", [t.id for t in made]).tobytes()
+        if len(self.parts) >= CACHE:
+            self.parts.clear()
         self.parts[part] = ids
         return ids
