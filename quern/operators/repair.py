@@ -135,9 +135,10 @@ class RepairPlan:
             return family(now) in ("integer", "real")
         return started == "text"
 
-    def _join_labels(self, df: DataFrame, column: str) -> DataFrame:
+    def _join_labels(self, df: DataFrame, column: str, of: str | None = None) -> DataFrame:
+        """The joined map of column `of` (default: the same) on a column. NULL is joined with nothing, so it is told apart first."""
         names, key, new = df.columns, "__spelling__", "__label__"
-        labels = self.label_maps[column].select(F.col("spelling").alias(key), F.col("label").alias(new))
+        labels = self.label_maps[of or column].select(F.col("spelling").alias(key), F.col("label").alias(new))
         joined = df.withColumn(key, F.expr(collapse(q(column)))).join(labels, key, "left")
         return joined.selectExpr(*[f"coalesce({new}, {key}) AS {q(c)}" if c == column else q(c) for c in names])
 
@@ -385,22 +386,38 @@ class RepairPlanner:
                                        f"code(s) {codes} lie beyond 3 x IQR and repeat in at least 1 % of rows"))
 
     def _examples(self, df: DataFrame, plan: RepairPlan) -> None:
-        """QLT-E: up to three before/after cells per repaired column, from one job with a per-column limit."""
-        columns = [c for c in plan.by_column() if c not in plan.label_maps]
-        if not columns:
+        """QLT-E: up to three cells for each rule of each column, as they were before the rule and after it, from one job. A column
+        keeps its state after every rule; the first rows of each rule are picked on the map side and again after one shuffle."""
+        at, k = "__row__", 3
+        by_column = {c: rs for c, rs in plan.by_column().items() if c in df.columns}
+        if not by_column:
             return
-        at = "__row__"
-        base = df.withColumn(at, F.col(self.order_by) if self.order_by else F.monotonically_increasing_id())
-        raw = [f"cast({q(c)} AS string) AS {q('before ' + str(i))}" for i, c in enumerate(columns)]
-        both = plan.transform(base.selectExpr(at, *[q(c) for c in columns], *raw))
-        entries = ", ".join(f"{i}, {q('before ' + str(i))}, cast({q(c)} AS string)" for i, c in enumerate(columns))
-        cells = both.selectExpr(at, f"stack({len(columns)}, {entries}) AS (col, before, after)")
+        order = F.col(self.order_by) if self.order_by else F.monotonically_increasing_id()
+        state = df.select(order.alias(at), *(F.col(q(c)).alias(f"now {i}") for i, c in enumerate(by_column)))
+        chains = []     # of each column: (place of the rule, layer or None for a joined map, whether the rule ends here)
+        for c, rs in by_column.items():
+            layers = [[None] if r.rule_id == "R-QLT-05" and c in plan.label_maps else list(repair_layers(r.rule_id, r.params)) for r in rs]
+            chains.append([(j, layer, n == len(chain) - 1) for j, chain in enumerate(layers) for n, layer in enumerate(chain)])
+        state = state.selectExpr("*", *[f"cast(`now {i}` AS string) AS `cell {i} 0`" for i in range(len(chains))])
+        for level in range(max(len(chain) for chain in chains)):
+            done, ends = {}, []
+            for i, (c, chain) in enumerate(zip(by_column, chains, strict=True)):
+                if level < len(chain):
+                    j, layer, last = chain[level]
+                    if layer is None:
+                        state = plan._join_labels(state, f"now {i}", c)
+                    else:
+                        done[f"now {i}"] = layer(f"`now {i}`")
+                    ends += [(i, j)] if last else []
+            state = state.selectExpr(*[f"{done[n]} AS {q(n)}" if n in done else q(n) for n in state.columns])
+            state = state.selectExpr("*", *[f"cast(`now {i}` AS string) AS `cell {i} {j + 1}`" for i, j in ends])
+        rules = [(i, j, r) for i, rs in enumerate(by_column.values()) for j, r in enumerate(rs)]
+        entries = ", ".join(f"{n}, `cell {i} {j}`, `cell {i} {j + 1}`" for n, (i, j, _) in enumerate(rules))
+        cells = state.selectExpr(at, f"stack({len(rules)}, {entries}) AS (rule, before, after)")
         changed = cells.where("before IS NOT NULL AND NOT (before <=> after)")
-        ranked = changed.withColumn("rk", F.row_number().over(Window.partitionBy("col").orderBy(at)))
-        by_column = plan.by_column()
-        for r in ranked.where("rk <= 3").orderBy("col", "rk").collect():
-            for repair in by_column[columns[r["col"]]]:
-                repair.examples.append((r["before"], r["after"]))
+        first = changed.withColumn("rk", F.row_number().over(Window.partitionBy("rule").orderBy(at))).where(f"rk <= {k}")
+        for r in first.orderBy("rule", "rk").collect():
+            rules[r["rule"]][2].examples.append((r["before"], r["after"]))
 
 
 def repair(df: DataFrame, order_by: str | None = None) -> tuple[DataFrame, RepairPlan]:

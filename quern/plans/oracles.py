@@ -199,12 +199,17 @@ UNION ALL SELECT 'R-QLT-01', 'priority', CAST(count_if(trim(priority) = 'N/A') A
 UNION ALL SELECT 'R-QLT-05', 'priority', CAST(count_if(trim(priority) <> upper(trim(priority))) AS BIGINT) FROM dirty
 UNION ALL SELECT 'R-QLT-06', 'ratio', CAST(count_if(isinf(ratio)) AS BIGINT) FROM dirty
 UNION ALL SELECT 'R-QLT-02', 'age', CAST(count_if(age = -999) AS BIGINT) FROM dirty)"""
-O["qlt_e_examples"] = DIRTY + """, cell AS (
-SELECT order_id, 'flag' AS "column", flag AS before, CAST(CAST(lower(trim(flag)) = 'yes' AS INT) AS VARCHAR) AS after FROM dirty
-UNION ALL SELECT order_id, 'priority', priority, CASE WHEN upper(trim(priority)) <> 'N/A' THEN upper(trim(priority)) END FROM dirty
-UNION ALL SELECT order_id, 'age', CAST(age AS VARCHAR), CAST(nullif(age, -999) AS VARCHAR) FROM dirty)
-SELECT "column", rk, before, after FROM (SELECT "column", before, after, row_number() OVER (PARTITION BY "column" ORDER BY order_id) AS rk
-FROM cell WHERE before IS DISTINCT FROM after) WHERE rk <= 3"""
+_CELLS = (
+    ("price_text", "R-QLT-03", "price_text", f"CAST({PRICE} AS VARCHAR)"),
+    ("flag", "R-QLT-07", "flag", "trim(flag)"), ("flag", "R-QLT-04", "trim(flag)", "CAST(CAST(lower(trim(flag)) = 'yes' AS INT) AS VARCHAR)"),
+    ("priority", "R-QLT-07", "priority", "trim(priority)"), ("priority", "R-QLT-01", "trim(priority)", "nullif(trim(priority), 'N/A')"),
+    ("priority", "R-QLT-05", "nullif(trim(priority), 'N/A')", "upper(nullif(trim(priority), 'N/A'))"),
+    ("age", "R-QLT-02", "CAST(age AS VARCHAR)", "CAST(nullif(age, -999) AS VARCHAR)"),
+    ("ratio", "R-QLT-06", "CASE WHEN isinf(ratio) THEN 'Infinity' ELSE 'number' END", "CASE WHEN NOT isinf(ratio) THEN 'number' END"))
+O["qlt_e_examples"] = DIRTY + ", cell AS (" + " UNION ALL ".join(
+    f"""SELECT order_id, '{c}' AS "column", '{r}' AS rule_id, {b} AS before, {a} AS after FROM dirty""" for c, r, b, a in _CELLS) + """)
+SELECT "column", rule_id, rk, before, after FROM (SELECT "column", rule_id, before, after, row_number() OVER (PARTITION BY "column", rule_id ORDER BY order_id) AS rk
+FROM cell WHERE before IS NOT NULL AND before IS DISTINCT FROM after) WHERE rk <= 3"""
 
 # ---- column profile
 O["prf_01_counts"] = GAPS_FACTS + f""" SELECT name AS "column", non_null, missing, {r6('missing_pct', 'missing_pct')}, uniq AS "unique",
@@ -362,7 +367,6 @@ O["rec_00_overrides"] = """WITH q AS (SELECT quantile_cont(value, 0.25) c, quant
 SELECT event_id, least(greatest(value, c - 1.5 * (d - c)), d + 1.5 * (d - c)) AS v, event_type FROM events, q),
 r AS (SELECT quantile_cont(v, 0.5) m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) i FROM k)
 SELECT event_id, round((v - m) / i, 6) AS value, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INT) AS event_type FROM k, r"""
-O["rec_t_target_protected"] = """SELECT p_size, round((p_retailprice), 6) AS p_retailprice, CAST(NULL AS INT) AS x, p_type FROM part"""
 O["rec_t_target_protected"] = "SELECT CAST(p_size AS INT) AS p_size, p_retailprice, p_type FROM part"
 O["rec_16_report"] = DUPS + """, d AS (SELECT DISTINCT event_type, user_id, ts, value FROM dups)
 SELECT (SELECT count(*) FROM dups) AS rows_before, (SELECT count(*) FROM d) AS rows_after, CAST(5 AS BIGINT) AS columns_before, CAST(18 AS BIGINT) AS columns_after,
@@ -388,7 +392,6 @@ O["pip_04_train_statistics"] = _SPLIT + """, q AS (SELECT quantile_cont(value, 0
 l AS (SELECT event_id, is_test, ln(1 + least(greatest(value, a), b)) AS v FROM s, q),
 r AS (SELECT quantile_cont(v, 0.5) m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) i FROM l WHERE NOT is_test)
 SELECT l.event_id, is_test, round((v - m) / i, 6) AS value FROM l, r"""
-O["pip_01_groups"] = """SELECT * FROM (VALUES ('event_id', 'drop'), ('ts', 'datetime'), ('user_id', 'gaussian'), ('event_type', 'onehot'), ('value', 'log1p'), ('props', 'high_card')) t("column", "group")"""
 O["pip_01_groups"] = simple_facts("events", ("event_id", "user_id", "value"), ("event_type", "props"), ("ts",), ("event_id",)) + """
 SELECT name AS "column", CASE WHEN semantic = 'identifier' OR is_constant THEN 'drop' WHEN semantic = 'datetime' THEN 'datetime'
 WHEN is_binary THEN 'binary' WHEN semantic LIKE 'numerical%' THEN CASE WHEN skew >= 1.2 AND lo >= 0 THEN 'log1p'

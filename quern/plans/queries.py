@@ -168,12 +168,9 @@ def _(spark, sf):
 
 @query("qlt_e_examples")
 def _(spark, sf):
-    seen, rows = set(), []
-    for r in repairs(spark, sf).repairs:
-        if r.column in ("flag", "priority", "age") and r.column not in seen:
-            seen.add(r.column)
-            rows += [{"column": r.column, "rk": i + 1, "before": b, "after": a} for i, (b, a) in enumerate(r.examples)]
-    return small_frame(spark, rows, [("column", s_), ("rk", i_), ("before", s_), ("after", s_)])
+    rows = [{"column": r.column, "rule_id": r.rule_id, "rk": i + 1, "before": b, "after": a}
+            for r in repairs(spark, sf).repairs for i, (b, a) in enumerate(r.examples)]
+    return small_frame(spark, rows, [("column", s_), ("rule_id", s_), ("rk", i_), ("before", s_), ("after", s_)])
 
 
 # ---------------------------------------------------------------- column profile

@@ -130,3 +130,18 @@ def test_replay_skips_absent_columns_and_other_types(spark):
     _, _, plan = fix(spark, [(i, "$1,0%02d" % i) for i in range(12)], "i int, c string")
     assert plan.transform(spark.createDataFrame([(1,)], "i int")).columns == ["i"]
     assert plan.transform(spark.createDataFrame([(1, 7)], "i int, c int")).first()["c"] == 7
+
+
+def test_examples_of_each_rule(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "  Yes "), (2, "No"), (3, " N/A"), (4, "yes"), (5, "no "), (6, None)], "k int, f string").repartition(3)
+    found = {r.rule_id: r.examples for r in R.RepairPlanner("k").fit(df).repairs}
+    assert found == {"R-QLT-07": [("  Yes ", "Yes"), (" N/A", "N/A"), ("no ", "no")], "R-QLT-01": [("N/A", None)],
+                     "R-QLT-04": [("Yes", "1"), ("No", "0"), ("yes", "1")]}
+
+
+def test_examples_of_joined_labels(spark, monkeypatch):
+    monkeypatch.setattr(R, "LITERAL_LABELS", 1)
+    rows = [(i, v) for i, v in enumerate(["Red ", "red", "Red", "Blue", "BLUE", "Blue", "green", "Red", "Blue", "green"] * 3)]
+    plan = R.RepairPlanner("k").fit(spark.createDataFrame(rows, "k int, c string"))
+    found = {r.rule_id: r.examples for r in plan.repairs}
+    assert plan.label_maps and found == {"R-QLT-07": [("Red ", "Red")] * 3, "R-QLT-05": [("red", "Red"), ("BLUE", "Blue"), ("red", "Red")]}
