@@ -147,6 +147,19 @@ def test_knn_is_exact(spark, monkeypatch, cell_rows, block):
     assert all(got[i] == r[2] for i, r in enumerate(rows) if r[2] is not None)
 
 
+@pytest.mark.parametrize("power", [14.0, -9.0, 45.0])
+def test_exponents_far_from_zero(spark, power):
+    draw = np.random.default_rng(3)
+    x = draw.normal(10, 1, 3000) ** (1 / power) * (3.0 if power > 0 else 1e3) - 1
+    x = x[x > 0]
+    def likelihood(lam):
+        t = np.expm1(lam * (np.log1p(x) - np.log1p(x).mean())) / lam
+        return -len(x) / 2 * (np.log(t.var()) + 2 * lam * np.log1p(x).mean()) + (lam - 1) * np.log1p(x).sum()
+    lam = fit_lambdas(spark.createDataFrame([(float(v),) for v in x], "x double"), {"x": "x"})["x"]
+    assert abs(lam) > 2.5 and abs(lam - power) < 0.35 * abs(power)
+    assert likelihood(lam) >= max(likelihood(lam * (1 + s)) for s in (-0.1, -0.01, -0.001, 0.001, 0.01, 0.1)) - 1e-9 * abs(likelihood(lam))
+
+
 def test_yeo_johnson_maximises_the_likelihood(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.exponential(20, 400) - 5, rng.normal(0, 1, 100)])
