@@ -4,20 +4,21 @@ Distance is Euclidean over the coordinates two rows share, scaled by (all coordi
 is the plain mean of the k nearest rows that have the value, smaller values first among equal distances.
 
   1  equal rows collapse: a row vector is searched once, and equal donors travel as one row with a count
-  2  donors are placed in cells along their widest feature, cut at approximate quantiles; a cell that holds too many
-     donors (one value may cover a third of the table) is split into blocks, and so are a cell's searching rows
-  3  each searching row looks in its own cell, and gets an upper bound on its k-th distance
-  4  it then visits only the cells that the bound cannot exclude: a donor is at least as far as the cell's edge
-
-No donor is left out, so the result is exact; the bound decides how much is compared. Rows without the cell feature,
-searching or donor, cannot be excluded by it and are compared everywhere. Pairs live only inside a numpy block; a task
+  2  donors are placed in cells of k-d trees, one tree for each pattern of present features (see cells.py), as many cells as the
+     donors need; a cell that holds too many donors (one value may cover a third of the table) is split into blocks, and so
+     are a cell's searching rows
+  3  each searching row looks in the cell with the least bound, and gets an upper bound on its k-th distance
+  4  it then visits only the cells whose box, over the features that both have, is no farther than that
+
+No donor is left out, so the result is exact; the bounds decide how much is compared. Rows that lack a feature are bounded by
+those they share with a cell; a cell without a shared feature is not visited. Pairs live only inside a numpy block; a task
 returns k rows per searching row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,15 +29,14 @@ from quern.functions.lineage import cut
 from quern.functions.ship import ship
 from quern.functions.names import double, q
 from quern.functions.types import as_double, families
+from quern.operators.cells import Cells
 from quern.operators.profile import fingerprint
 from quern.operators.quantiles import agg_row
 
 CELL_ROWS = 4_000        # donors a cell aims for
-MAX_CELLS = 4_096        # cut points are literals in a task, so their number is bounded
 BLOCK_DONORS = 50_000    # donors compared at once in one task
 BLOCK_ROWS = 20_000      # searching rows of one task
 PAIRS_AT_ONCE = 2_000_000
-UNPLACED = -1
 
 
 def nearest_in_block(rows: np.ndarray, donors: np.ndarray, values: np.ndarray, k: int
@@ -66,8 +66,6 @@ def nearest_in_block(rows: np.ndarray, donors: np.ndarray, values: np.ndarray, k
 class _Target:
     column: str
     mean: float | None
-    pivot: int                  # position of the cell feature
-    cuts: list[float] = field(default_factory=list)
 
 
 @dataclass
@@ -76,6 +74,7 @@ class KnnFill:
     features: list[str]
     targets: list[_Target]
     k: int = 5
+    cell_rows: int = CELL_ROWS
     known: tuple[DataFrame, DataFrame] | None = None     # (vectors of the fitted rows, their fills)
     streamable = False
 
@@ -85,28 +84,8 @@ class KnnFill:
         ship(df.sparkSession)
         fams = families(df)
         donors = df.selectExpr(*[f"{as_double(c, fams[c])} AS {q(c)}" for c in features])
-        stats = agg_row(donors, [e for c in features for e in (f"avg({q(c)})", f"stddev_samp({q(c)})")])
-        mean = {c: stats[2 * i] for i, c in enumerate(features)}
-        spread = {c: stats[2 * i + 1] or 0.0 for i, c in enumerate(features)}
-        pairs = [(t, c) for t in targets for c in features if c != t]
-        together = dict(zip(pairs, agg_row(
-            donors, [f"count_if({q(t)} IS NULL AND {q(c)} IS NOT NULL)" for t, c in pairs])))
-        counts = agg_row(donors, [e for t in targets for e in (f"count({q(t)})", f"count_if({q(t)} IS NULL)")])
-        fitted = []
-        for i, t in enumerate(targets):
-            n, searching = counts[2 * i], max(1, counts[2 * i + 1])
-            # the widest feature that most searching rows have
-            pivot = max((c for c in features if c != t),
-                        key=lambda c: (together[(t, c)] / searching >= 0.5, spread[c], together[(t, c)]))
-            cells = int(min(MAX_CELLS, max(1, n // cell_rows)))
-            cuts: list[float] = []
-            if cells > 1:
-                steps = ", ".join(f"{j / cells!r}D" for j in range(1, cells))
-                found = donors.where(F.col(q(t)).isNotNull()).agg(
-                    F.expr(f"approx_percentile({q(pivot)}, array({steps}), 10000)")).first()[0]
-                cuts = sorted(set(found or []))
-            fitted.append(_Target(t, mean[t], features.index(pivot), cuts))
-        step = cls(donors, list(features), fitted, k)
+        means = agg_row(donors, [f"avg({q(t)})" for t in targets])
+        step = cls(donors, list(features), [_Target(t, m) for t, m in zip(targets, means, strict=True)], k, cell_rows)
         # the search over the fitted rows runs once; its result is one small row per vector with a gap
         step.known = (donors, cut(step._lookup(donors)))
         return step
@@ -158,42 +137,26 @@ class KnnFill:
         """(h1, h2, fill) for each distinct feature vector that lacks the target."""
         h1, h2 = fingerprint(self.features)
         vec = "array(" + ", ".join(f"coalesce({q(c)}, double('NaN'))" for c in self.features) + ")"
-        pivot = q(self.features[t.pivot])
         target = q(t.column)
-        keyed = lambda d, extra: d.selectExpr(f"{h1} AS h1", f"{h2} AS h2", f"{vec} AS vec", f"{pivot} AS x", *extra)
-        searching = (keyed(vectors.where(f"{target} IS NULL"), []).groupBy("h1", "h2")
-                     .agg(F.first("vec").alias("vec"), F.first("x").alias("x")))
-        donors = (keyed(self.donors.where(f"{target} IS NOT NULL"), [f"{target} AS val"]).groupBy("h1", "h2")
-                  .agg(F.first("vec").alias("vec"), F.first("x").alias("x"), F.first("val").alias("val"),
-                       F.count("*").alias("cnt")))
-        cell = _cell_udf(t.cuts)
-        searching = searching.withColumn("cell", cell("x"))
-        donors = donors.withColumn("cell", cell("x"))
-        sizes = {r["cell"]: r["count"] for r in donors.groupBy("cell").count().collect()}
-        askers = {r["cell"]: r["count"] for r in searching.groupBy("cell").count().collect()}
-        if not sizes or not askers:
+        keyed = lambda d, extra: d.selectExpr(f"{h1} AS h1", f"{h2} AS h2", f"{vec} AS vec", *extra)
+        searching = keyed(vectors.where(f"{target} IS NULL"), []).groupBy("h1", "h2").agg(F.first("vec").alias("vec"))
+        donors = cut(keyed(self.donors.where(f"{target} IS NOT NULL"), [f"{target} AS val"]).groupBy("h1", "h2")
+                     .agg(F.first("vec").alias("vec"), F.first("val").alias("val"), F.count("*").alias("cnt")))
+        cells = Cells(donors, len(self.features), self.cell_rows)
+        if not cells.sizes:
             return searching.selectExpr("h1", "h2", "cast(NULL AS double) AS fill")
-
-        last = len(t.cuts)
-        own = searching.selectExpr("*", "explode(CASE WHEN cell = -1 THEN sequence(-1, %d) ELSE array(cell, -1) END) "
-                                        "AS visit" % last)
-        first_look = self._search(own, donors, sizes)
-        if not t.cuts:
-            best = first_look
-        else:
+        donors = donors.withColumn("cell", cells.cell_of(F.col("vec")))
+        own = cut(searching.withColumn("visit", cells.nearest(F.col("vec"))).where("visit >= 0"))
+        best = first_look = cut(self._search(own, donors, cells.sizes))
+        if len(cells.sizes) > 1:
             order = Window.partitionBy("h1", "h2").orderBy("dist", "val")
             reach = (first_look.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= self.k)
                      .groupBy("h1", "h2").agg(F.max("dist").alias("r"), F.count("*").alias("found")))
-            bound = (f"CASE WHEN found = {self.k} THEN r / {double((len(self.features) / (len(self.features) - 1)) ** 0.5)} "
-                     f"ELSE double('Infinity') END")
-            wider = (searching.where("cell >= 0").join(reach, ["h1", "h2"], "left")
-                     .selectExpr("h1", "h2", "vec", "x", "cell", f"coalesce({bound}, double('Infinity')) AS r"))
             # a hair wider than the bound, so rounding cannot exclude a donor that ties it
-            wider = (wider.withColumn("lo", cell(F.expr("x - r * 1.000000001")))
-                     .withColumn("hi", cell(F.expr("x + r * 1.000000001")))
-                     .selectExpr("h1", "h2", "vec", "x", "cell", "explode(sequence(lo, hi)) AS visit")
-                     .where("visit <> cell"))
-            best = first_look.unionByName(self._search(wider, donors, sizes))
+            bound = F.expr(f"coalesce(CASE WHEN found = {self.k} THEN r * 1.000000001 END, double('Infinity'))")
+            wider = own.join(reach, ["h1", "h2"], "left").withColumn("others", cells.within(F.col("vec"), bound, F.col("visit")))
+            wider = wider.select("h1", "h2", "vec", F.explode("others").alias("visit"))
+            best = first_look.unionByName(self._search(cut(wider), donors, cells.sizes))
         order = Window.partitionBy("h1", "h2").orderBy("dist", "val", "cnt")
         top = best.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= self.k)
         before = F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -233,14 +196,3 @@ class KnnFill:
         keys = ["visit", "block", "chunk"]
         return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
                 .applyInPandas(look, "h1 bigint, h2 bigint, dist double, val double, cnt bigint"))
-
-
-def _cell_udf(cuts: list[float]):
-    """Cell number of a value: how many cut points are at or below it; -1 for a missing value."""
-    edges = np.array(cuts, dtype=float)
-
-    @F.pandas_udf("int")
-    def cell(x: pd.Series) -> pd.Series:
-        v = x.to_numpy(dtype=float, na_value=np.nan)
-        return pd.Series(np.where(np.isnan(v), UNPLACED, np.searchsorted(edges, v, side="right")).astype("int32"))
-    return cell
