@@ -135,6 +135,12 @@ class GroupPipeline:
 
         fams = families(train)
         coded = of(g.binary) + of(g.ordinal) + of(g.onehot) + of(g.high_card)
+
+        def sparse(c: str) -> None:
+            for piece in S.sparse_one_hot(train, c, fams[c], taken):
+                model.add(piece, train)
+            model.log.append(f"{c!r} has {seen[c][0]} values: its indicators are one sparse column")
+
         def share(c: str) -> None:
             piece = S.frequency(train, c, totals[c], seen[c][1], fams[c])
             if isinstance(piece, S.Projection):
@@ -148,7 +154,7 @@ class GroupPipeline:
         for c in of(g.binary):
             n, values = seen[c]
             if n > S.ONE_HOT_VALUES:
-                share(c)
+                sparse(c)
             elif n <= 2:
                 # the first sorted value is 0; anything else, seen or not, follows the one-indicator convention
                 second = f"{q(c)} = {S.sql_value(values[1], fams[c])}" if len(values) == 2 else "false"
@@ -163,8 +169,8 @@ class GroupPipeline:
             codes = S.ordinal_codes(seen[c][1], self.facts.columns[c].ordinal_order, MISSING)
             last.replace[c] = S.code_expression(q(c), codes, fams[c], "-1")
         for c in of(g.onehot):
-            if seen[c][0] > S.ONE_HOT_VALUES:   # that many columns help nobody; the shares keep the column's information
-                share(c)
+            if seen[c][0] > S.ONE_HOT_VALUES:
+                sparse(c)
                 continue
             last.add += S.one_hot(c, seen[c][1], fams[c], taken)
             last.drop.add(c)
@@ -192,6 +198,7 @@ class PreparedModel:
     def __init__(self, plan: GroupPipeline):
         self.plan = plan
         self.steps: list = []
+        self.log: list[str] = []
 
     def add(self, step, df: DataFrame) -> DataFrame:
         if isinstance(step, S.Projection) and not step:

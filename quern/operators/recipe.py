@@ -306,9 +306,6 @@ class Recipe:
         step, hot = S.Projection(), []
         for c, choice in how.items():
             n, values = seen[c]
-            if n > S.ONE_HOT_VALUES and choice == "onehot":
-                model.log.append(f"{c!r} has {n} values: frequency instead of one-hot encoding")
-                choice = "frequency"
             if choice == "binary" and n > 2:
                 model.log.append(f"{c!r} has {n} values: ordinal codes on sorted values instead of binary")
                 choice = "sorted"
@@ -325,6 +322,9 @@ class Recipe:
             elif choice in ("ordinal", "sorted"):
                 order = ordinal_order([v for v in values if v != MISSING]) if choice == "ordinal" else None
                 step.replace[c] = S.code_expression(q(c), S.ordinal_codes(values, order, MISSING), fams[c], "-1")
+            elif choice == "onehot" and n > S.ONE_HOT_VALUES:
+                model.steps += S.sparse_one_hot(df, c, fams[c], taken)
+                model.log.append(f"{c!r} has {n} values: its indicators are one sparse column")
             elif choice == "onehot":
                 hot.append(c)
                 step.add += S.one_hot(c, values, fams[c], taken)

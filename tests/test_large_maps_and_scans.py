@@ -86,6 +86,25 @@ def test_ranked_codes_of_many_values(spark, many):
         assert r.c == (None if r.raw is None else code.get(r.raw, -1))
 
 
+@pytest.mark.parametrize("grouped", [False, True])
+def test_indicators_of_many_values_are_one_sparse_column(spark, many, monkeypatch, grouped):
+    from quern.operators.grouped_prep import GroupPipeline, Groups
+    from quern.operators.recipe import Recipe
+    df = many.withColumn("raw", F.col("c"))
+    values = sorted({r[0] for r in many.collect() if r[0] is not None})
+    if grouped:
+        model = GroupPipeline(None, None, groups=Groups(onehot=["c"], passthrough=["raw"])).fit(df.na.fill("zz", ["c"]))
+        values, df = [*values, "zz"], df.na.fill("zz", ["c", "raw"])
+    else:
+        model = Recipe({"c": {"encoding": "onehot", "imputation": "none"}, "raw": {"encoding": "none", "imputation": "none"}}, drop_duplicates=False).fit(df)
+    assert any("sparse" in line for line in model.log)
+    place = {v: [i - 1] if i else [] for i, v in enumerate(values)}
+    got = model.transform(df)
+    assert "c" not in got.columns and got.count() == 9000
+    for r in got.distinct().collect():
+        assert r.c_onehot == place.get(r.raw, [])
+
+
 def test_frequencies_of_many_values(many):
     from collections import Counter
     n = Counter(r[0] for r in many.collect() if r[0] is not None)
