@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import exchange as X
 from quern.llm import quotient as Q
-from quern.llm.memory import lean, release
+from quern.llm.memory import lean
 from quern.llm.words import LOWER, buffer, words
 from quern.operators.ranks import ranked
 
@@ -95,9 +93,10 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
 
     Texts are dealt to blocks. A block sends its words and their counts to buckets of words; a bucket adds them up, numbers the words
     that reach `least`, and answers with these numbers: no other word can be part of a phrase that reaches it. The block then packs
-    every phrase of numbered words and sends each shard one sorted filter per length; a shard merges them into one and gives back
-    the sequences that reach `least`. Numbers are unique over all languages. Buckets and shards grow in number with the texts; a
-    word or phrase that every text has is one entry a block."""
+    every pair of numbered words and sends each shard one sorted filter; a shard merges the filters into one and tells each block
+    which of its pairs reach `least`. Longer phrases are packed and merged likewise, but for those with a pair that does not reach
+    it, as they cannot either. Numbers are unique over all languages. Buckets and shards grow in number with the texts; a word or
+    phrase that every text has is one entry a block."""
     size = X.text_bytes(docs, text)
     n_blocks, n_shards = X.sizes(size)
     shard_bits = n_shards.bit_length() - 1
@@ -142,52 +141,93 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     frequent = X.cut(_lookup(frequent, spoken, ["lang"], F.col("n") > total // HOT))
     bits = max(1, (n_shards * most).bit_length())
 
-    def block_filters(table: pa.Table, reply: pa.Table) -> pa.Table:
+    def numbered(table: pa.Table, reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every word of a block, 0 where it has none, and whether it begins a piece."""
+        entry, order, bucket, names, edges, _, _, fresh = _dealt(table, n_shards)
+        mine = reply.filter(pc.is_valid(reply["lang"]))
+        told = dict(zip(zip(mine["bucket"].to_pylist(), mine["lang"].to_pylist(), strict=True), mine["ids"], strict=True))
+        of_entry = np.zeros(len(order), np.int64)
+        for k, name, a, b in zip(bucket.tolist(), names, edges[:-1], edges[1:], strict=True):
+            ids = told[(k, name)].values.to_numpy().astype(np.int64)
+            of_entry[order[a:b]] = np.where(ids > 0, k * most + ids, 0)
+        return of_entry[entry], fresh
+
+    def counted(ids: np.ndarray, begin: np.ndarray, n: int):
+        """Distinct phrases that begin at the given words, their counts, the place of each beginning's phrase, and the shards' edges."""
+        limbs, counts, place = Q.tally(Q.permute(Q.pack([ids[begin + k] for k in range(n)], bits), n, bits))
+        own = min(shard_bits, Q.widths(n, bits)[0])
+        shard = limbs[0] >> np.uint64(Q.widths(n, bits)[0] - own) if own else np.zeros(len(counts), np.uint64)
+        return limbs, counts, place, own, np.searchsorted(shard, np.arange((1 << own) + 1, dtype=np.uint64))
+
+    def filters(block: int, ids: np.ndarray, begin: np.ndarray, n: int) -> list[tuple]:
+        limbs, counts, _, own, cuts = counted(ids, begin, n)
+        return [(block, n, k, Q.encode([limb[a:b] for limb in limbs], counts[a:b], n, bits, own))
+                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+    def sent(rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
+                        names=["block", "n", "shard", "filter"])
+
+    def pairs(table: pa.Table, reply: pa.Table) -> pa.Table:
+        if not table.num_rows or not reply.num_rows:
+            return sent([])
+        ids, fresh = numbered(table, reply)
+        return sent(filters(table["block"][0].as_py(), ids, _sequences(ids, fresh, 2), 2))
+
+    def longer(table: pa.Table, reply: pa.Table) -> pa.Table:
+        if not table.num_rows or not reply.num_rows:
+            return sent([])
+        ids, fresh = numbered(table, reply)
+        begin = _sequences(ids, fresh, 2)
+        limbs, counts, place, _, cuts = counted(ids, begin, 2)
+        flags = np.zeros(len(counts), bool)
+        mine = reply.filter(pc.is_null(reply["lang"]))
+        for k, packed in zip(mine["bucket"].to_pylist(), mine["flags"], strict=True):
+            flags[cuts[k]:cuts[k + 1]] = np.unpackbits(np.frombuffer(packed.as_buffer(), np.uint8), count=int(cuts[k + 1] - cuts[k]))
+        frequent_pair = np.zeros(len(ids) + 1, np.int64)
+        frequent_pair[begin] = flags[place]
+        gaps = np.concatenate(([0], np.cumsum(frequent_pair == 0)))
         rows = []
-        if table.num_rows and reply.num_rows:
-            entry, order, bucket, names, edges, _, _, fresh = _dealt(table, n_shards)
-            told = dict(zip(zip(reply["bucket"].to_pylist(), reply["lang"].to_pylist(), strict=True), reply["ids"], strict=True))
-            of_entry = np.zeros(len(order), np.int64)
-            for k, name, a, b in zip(bucket.tolist(), names, edges[:-1], edges[1:], strict=True):
-                ids = told[(k, name)].values.to_numpy().astype(np.int64)
-                of_entry[order[a:b]] = np.where(ids > 0, k * most + ids, 0)
-            ids = of_entry[entry]
-            for n in range(2, longest + 1):
-                begin = _sequences(ids, fresh, n)
-                limbs, counts = Q.tally(Q.permute(Q.pack([ids[begin + k] for k in range(n)], bits), n, bits))
-                own = min(shard_bits, Q.widths(n, bits)[0])
-                shard = limbs[0] >> np.uint64(Q.widths(n, bits)[0] - own) if own else np.zeros(len(counts), np.uint64)
-                cuts = np.searchsorted(shard, np.arange((1 << own) + 1, dtype=np.uint64))
-                rows += [(n, k, Q.encode([limb[a:b] for limb in limbs], counts[a:b], n, bits, own))
-                         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))],
-                        names=["n", "shard", "filter"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limbs, counts, waiting, n, shard, own = None, None, [], 0, 0, 0
-
-        def together():
-            parts = waiting if limbs is None else [(limbs, counts), *waiting]
-            return Q.tally([np.concatenate(one) for one in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts]))
-
-        for batch in batches:
-            for length, k, packed in zip(batch["n"].to_pylist(), batch["shard"].to_pylist(), batch["filter"], strict=True):
-                n, shard, own = length, k, min(shard_bits, Q.widths(length, bits)[0])
-                waiting.append(Q.decode(memoryview(packed.as_buffer()), n, bits, own, shard))
-                if sum(len(w[1]) for w in waiting) > max(1 << 18, 0 if counts is None else len(counts)):
-                    limbs, counts = together()
-                    waiting = []
-        if waiting:
-            limbs, counts = together()
+        for n in range(3, longest + 1):
+            at = _sequences(ids, fresh, n)
+            rows += filters(table["block"][0].as_py(), ids, at[gaps[at + n - 1] == gaps[at]], n)
+        return sent(rows)
+
+    def merged(table: pa.Table):
+        n, shard = table["n"][0].as_py(), table["shard"][0].as_py()
+        own = min(shard_bits, Q.widths(n, bits)[0])
+        parts = [Q.decode(memoryview(f.as_buffer()), n, bits, own, shard) for f in table["filter"]]
+        limbs, counts, place = Q.tally([np.concatenate(one) for one in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts]))
         enough = counts >= least
         ids = np.stack(Q.unpack(Q.restore([limb[enough] for limb in limbs], n, bits), n, bits), axis=1).astype(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * n, pa.int32()), pa.array(ids.ravel()))
-        yield pa.RecordBatch.from_arrays([lists, pa.array(counts[enough])], ["ids", "a"])
-        release()
+        return parts, lists, counts[enough], enough[place]
+
+    def merge(table: pa.Table) -> pa.Table:
+        _, lists, counts, _ = merged(table)
+        return pa.table({"ids": lists, "a": counts})
+
+    def merge_pairs(table: pa.Table) -> pa.Table:
+        """Frequent pairs, and for each block which entries of its filter they are."""
+        parts, lists, counts, flags = merged(table)
+        ends = np.cumsum([0] + [len(p[1]) for p in parts])
+        told = [np.packbits(flags[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        none = len(counts)
+        return pa.table([pa.concat_arrays([lists, pa.nulls(len(told), lists.type)]), pa.array([*counts.tolist(), *[None] * len(told)], pa.int64()),
+                         pa.concat_arrays([pa.nulls(none, pa.int32()), table["block"].combine_chunks()]),
+                         pa.concat_arrays([pa.nulls(none, pa.int32()), table["shard"].combine_chunks()]), pa.array([None] * none + told, pa.binary())],
+                        names=["ids", "a", "block", "bucket", "flags"])
 
-    replies = answers.where("block >= 0").select("block", "bucket", "lang", "ids")
-    filters = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lean(block_filters), "n int, shard int, filter binary")
-    phrases = X.cut(filters.groupBy("n", "shard").applyInArrow(merge, "ids array<long>, a long"))
+    shape = "block int, n int, shard int, filter binary"
+    words_told = answers.where("block >= 0").select("block", "bucket", "lang", "ids")
+    found = X.cut(dealt.groupBy("block").cogroup(words_told.groupBy("block")).applyInArrow(lean(pairs), shape)
+                  .groupBy("n", "shard").applyInArrow(lean(merge_pairs), "ids array<long>, a long, block int, bucket int, flags binary"))
+    told = words_told.unionByName(found.where("flags IS NOT NULL").select("block", "bucket", "flags"), allowMissingColumns=True)
+    phrases = found.where("a IS NOT NULL").select("ids", "a")
+    if longest > 2:
+        more = (dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean(longer), shape)
+                .groupBy("n", "shard").applyInArrow(lean(merge), "ids array<long>, a long"))
+        phrases = phrases.unionByName(X.cut(more))
     return frequent, phrases, total
 
 

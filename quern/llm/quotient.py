@@ -80,17 +80,20 @@ def restore(limbs: list[np.ndarray], n: int, bits: int) -> list[np.ndarray]:
     return [x, *limbs[1:]]
 
 
-def tally(limbs: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct sequences in ascending order of their permuted limbs, with the sum of their counters (1 each if none are given)."""
+def tally(limbs: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct sequences in ascending order of their permuted limbs, the sums of their counters (1 each if none are given), and for
+    every given entry the place of its sequence."""
     if not len(limbs[0]):
-        return limbs, np.zeros(0, np.int64)
+        return limbs, np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(limbs[0], kind="stable") if len(limbs) == 1 else np.lexsort(limbs[::-1])
     limbs = [limb[order] for limb in limbs]
     new = np.ones(len(order), bool)
     new[1:] = np.logical_or.reduce([limb[1:] != limb[:-1] for limb in limbs])
     first = np.flatnonzero(new)
     total = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first)
-    return [limb[first] for limb in limbs], total.astype(np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return [limb[first] for limb in limbs], total.astype(np.int64), place
 
 
 def _bytes(values: np.ndarray, width: int) -> bytes:
