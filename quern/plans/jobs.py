@@ -20,6 +20,7 @@ from quern.operators.repair import Repair, RepairPlan, repair
 from quern.operators.target import analyze_target
 from quern.sources.scan import scan
 from quern.sources.sinks import output_format, write, write_report
+from quern.sources.staging import Staging
 
 
 @dataclass
@@ -28,25 +29,34 @@ class Analysis:
     plan: RepairPlan
     facts: DatasetFacts
     inference: Inference
+    staging: Staging | None = None
+
+    def release(self) -> None:
+        """Delete what was staged; `table` cannot be read any more."""
+        if self.staging:
+            self.staging.release()
 
     @property
     def repairs(self) -> list[Repair]:
         return self.plan.repairs
 
 
-def analyze(df: DataFrame, auto_repair: bool = True, order_by: str | None = None) -> Analysis:
-    """Repair, profile and rules, on a table of any size."""
+def analyze(df: DataFrame, auto_repair: bool = True, order_by: str | None = None, stage: Staging | None = None) -> Analysis:
+    """Repair, profile and rules, on a table of any size. With `stage` the repaired table is stored before its profile."""
     plan = RepairPlan([])
     if auto_repair:
         df, plan = repair(df, order_by)
+        df = stage(df) if stage and plan.repairs else df
     facts = profile(df)
-    return Analysis(df, plan, facts, infer(df.sparkSession, facts, plan.repairs))
+    return Analysis(df, plan, facts, infer(df.sparkSession, facts, plan.repairs), stage)
 
 
 def audit(spark: SparkSession, path: str, output: str | None = None, auto_repair: bool = True,
           target: str | None = None) -> Analysis:
-    df, meta = scan(spark, path)
-    found = analyze(df, auto_repair)
+    """JOB-1. The input is parsed once; `Analysis.release` deletes what was staged."""
+    stage = Staging(spark)
+    df, meta = scan(spark, path, stage)
+    found = analyze(df, auto_repair, stage=stage)
     if output:
         about = analyze_target(found.table, target).to_dict() if target else None
         write_report(spark, output, meta.to_dict(), found.repairs, found.facts, found.inference, about)
@@ -56,9 +66,11 @@ def audit(spark: SparkSession, path: str, output: str | None = None, auto_repair
 def clean(spark: SparkSession, path: str, output: str, target: str | None = None, fmt: str | None = None,
           auto_repair: bool = True, recipe: Recipe | None = None, mode: str = "errorifexists"
           ) -> tuple[Analysis, RecipeModel, str | None]:
+    """JOB-2. The input is parsed once; `Analysis.release` deletes what was staged."""
     kind = output_format(output, fmt)
-    df, _ = scan(spark, path)
-    found = analyze(df, auto_repair)
+    stage = Staging(spark)
+    df, _ = scan(spark, path, stage)
+    found = analyze(df, auto_repair, stage=stage)
     task = analyze_target(found.table, target).task if target else None
     model = (recipe or Recipe(target=target)).fit(found.table, found.facts, found.inference)
     write(model.transform(found.table), output, kind, mode)
@@ -95,7 +107,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName(f"table-{args.job}").getOrCreate()
     try:
         if args.job == "audit":
-            _report(audit(spark, args.input, args.output, not args.no_repair, args.target), not args.no_repair)
+            found = audit(spark, args.input, args.output, not args.no_repair, args.target)
+            _report(found, not args.no_repair)
         else:
             found, model, task = clean(spark, args.input, args.output, args.target, args.format, not args.no_repair)
             _report(found, not args.no_repair)
@@ -104,6 +117,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for step in model.log:
                 print(f"  - {step}")
             print(f"written to {args.output}")
+        found.release()
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -167,6 +167,9 @@ O["src_01_delimited_scan"] = """SELECT c_custkey, c_name, CAST(c_nationkey AS BI
 O["src_04_json_scan"] = """SELECT event_id, event_type AS "e.kind", user_id AS "e.user.id", value, props FROM events"""
 O["src_05_flatten"] = """SELECT doc_id, lang AS "meta.lang", source AS "meta.origin.source", n_chars AS "meta.origin.size"
 FROM documents"""
+O["src_06_parquet_scan"] = """SELECT doc_id, text, lang AS "meta.lang", source AS "meta.origin.source", n_chars AS "meta.origin.size" FROM documents"""
+O["snk_01_csv"] = "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents"
+O["snk_02_parquet"] = "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders"
 O["src_07_header_rules"] = """SELECT event_id, event_type, user_id AS event_type_1, value AS feature_3, props AS "VALUE" FROM events"""
 O["src_08_type_inference"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
 O["src_09_scan_metadata"] = """SELECT 'lineitem.parquet' AS filename, '.parquet' AS extension, 'parquet' AS format,
@@ -199,8 +202,9 @@ UNION ALL SELECT 'R-QLT-01', 'priority', CAST(count_if(trim(priority) = 'N/A') A
 UNION ALL SELECT 'R-QLT-05', 'priority', CAST(count_if(trim(priority) <> upper(trim(priority))) AS BIGINT) FROM dirty
 UNION ALL SELECT 'R-QLT-06', 'ratio', CAST(count_if(isinf(ratio)) AS BIGINT) FROM dirty
 UNION ALL SELECT 'R-QLT-02', 'age', CAST(count_if(age = -999) AS BIGINT) FROM dirty)"""
+O["job_01_audit"] = O["qlt_d_repair_log"]
 _CELLS = (
-    ("price_text", "R-QLT-03", "price_text", f"CAST({PRICE} AS VARCHAR)"),
+    ("price_text", "R-QLT-01", "price_text", "nullif(price_text, '?')"), ("price_text", "R-QLT-03", "nullif(price_text, '?')", f"CAST({PRICE} AS VARCHAR)"),
     ("flag", "R-QLT-07", "flag", "trim(flag)"), ("flag", "R-QLT-04", "trim(flag)", "CAST(CAST(lower(trim(flag)) = 'yes' AS INT) AS VARCHAR)"),
     ("priority", "R-QLT-07", "priority", "trim(priority)"), ("priority", "R-QLT-01", "trim(priority)", "nullif(trim(priority), 'N/A')"),
     ("priority", "R-QLT-05", "nullif(trim(priority), 'N/A')", "upper(nullif(trim(priority), 'N/A'))"),

@@ -109,6 +109,15 @@ def _(spark, sf):
     return S.flatten(nested)
 
 
+@query("src_06_parquet_scan")
+def _(spark, sf):
+    """The table written with nested columns, and scanned back."""
+    path = _place(spark, "documents")
+    load(spark, sf, "documents").select(
+        "doc_id", "text", F.struct("lang", F.struct(F.col("source").alias("source"), F.col("n_chars").alias("size")).alias("origin")).alias("meta")).write.parquet(path)
+    return S.read_parquet(spark, path)
+
+
 @query("src_07_header_rules")
 def _(spark, sf):
     raw = load(spark, sf, "events").select("event_id", "event_type", "user_id", "value", "props")
@@ -128,6 +137,32 @@ def _(spark, sf):
                                                  ("columns", i_)])
 
 
+@query("snk_01_csv")
+def _(spark, sf):
+    """The table written as delimited text, with the quotes and line breaks of its texts, and scanned back."""
+    path = _place(spark, "documents") + ".csv"
+    sinks.write(load(spark, sf, "documents"), path)
+    return S.scan(spark, path)[0]
+
+
+@query("snk_02_parquet")
+def _(spark, sf):
+    path = _place(spark, "orders") + ".parquet"
+    sinks.write(load(spark, sf, "orders"), path)
+    return S.scan(spark, path)[0].withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+@query("job_01_audit")
+def _(spark, sf):
+    """The repairs of the whole audit job, from delimited text to report, as the report holds them."""
+    from quern.plans.jobs import audit
+    path, report = _place(spark, "orders") + ".csv", _place(spark, "report")
+    sinks.write(load(spark, sf, "orders_dirty"), path)
+    audit(spark, path, report).release()
+    document = spark.read.text(f"{report}/summary").select(F.from_json("value", "repairs array<struct<rule_id string, column string, affected long>>").alias("d"))
+    return document.select(F.inline("d.repairs"))
+
+
 @query("snk_03_safe_names")
 def _(spark, sf):
     return sanitize_column_names(load(spark, sf, "customer").toDF("cust key", "cust-name", "cust name!", "??",

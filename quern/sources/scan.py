@@ -90,11 +90,11 @@ def best_delimiter(lines: list[str]) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
-                   na_tokens=NA_TOKENS, infer_types: bool = True, shape: TextShape | None = None) -> DataFrame:
+                   na_tokens=NA_TOKENS, infer_types: bool = True, shape: TextShape | None = None, stage=None) -> DataFrame:
     """SRC-1: every column is read as text, short rows are padded, rows with too many fields are skipped; then headers
     and types follow our own rules. Files are split over tasks, also where quoted fields hold line breaks (see quoted.py).
     Only files with such fields that also hold lone carriage returns, which a reader may take for line breaks or not, are
-    read as a whole."""
+    read as a whole. `stage` keeps the parsed text where later passes read it (see staging.py)."""
     shape = shape or text_shape(spark, path)
     encoding = encoding or shape.encoding
     delimiter = delimiter or ("\t" if os.path.splitext(path)[1].lower() in (".tsv", ".tab")
@@ -124,6 +124,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     df = decode(df, encoding)
     listed = ", ".join(text(t) for t in na_tokens)
     df = df.selectExpr(*[f"CASE WHEN {q(n)} NOT IN ({listed}) THEN {q(n)} END AS {q(n)}" for n in names])
+    df = stage(df) if stage else df
     return infer_text_types(df) if infer_types else df
 
 
@@ -197,8 +198,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return flatten(spark.read.parquet(path))
 
 
-def scan(spark: SparkSession, path: str, **options) -> tuple[DataFrame, ScanMetadata]:
-    """SRC-1..9: read by extension (unknown extensions as delimited text), with metadata; an empty table raises."""
+def scan(spark: SparkSession, path: str, stage=None, **options) -> tuple[DataFrame, ScanMetadata]:
+    """SRC-1..9: read by extension (unknown extensions as delimited text), with metadata; an empty table raises. `stage`: a
+    Staging that text and JSON are parsed into once, before types are inferred and rows are counted."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     encoding = delimiter = None
     if ext in PARQUET_EXTENSIONS:
@@ -207,13 +209,14 @@ def scan(spark: SparkSession, path: str, **options) -> tuple[DataFrame, ScanMeta
         size = round((files.agg(F.sum("s")).first()[0] or 0) / 1024, 2)
     elif ext in JSON_EXTENSIONS:
         encoding, size = detect_encoding(spark, path)
-        df, kind = standardise_headers(read_json(spark, path, encoding)), "json"
+        df = read_json(spark, path, encoding)
+        df, kind = standardise_headers(stage(df) if stage else df), "json"
     else:
         shape = text_shape(spark, path)
         encoding, size = shape.encoding, shape.size_kb
         delimiter = options.pop("delimiter", None) or (
             "\t" if ext in (".tsv", ".tab") else sniff_delimiter(spark, path, encoding))
-        df = read_delimited(spark, path, delimiter, encoding, shape=shape, **options)
+        df = read_delimited(spark, path, delimiter, encoding, shape=shape, stage=stage, **options)
         kind = "tsv" if delimiter == "\t" else "csv"
     if df.isEmpty():
         raise ValueError(f"{path!r} holds no rows")

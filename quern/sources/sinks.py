@@ -31,7 +31,8 @@ def write(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorif
         raise ValueError("nothing to export: the table has no columns")
     kind = output_format(path, fmt)
     if kind == "csv":
-        df.write.mode(mode).option("header", True).csv(path)
+        (df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))   # quotes are doubled and spaces kept, as scans read them
     elif kind == "parquet":
         df.write.mode(mode).parquet(path)
     elif kind == "table" and jdbc:
