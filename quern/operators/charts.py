@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.names import double, q, text
+from quern.functions.names import q, text
 from quern.functions.types import as_double, families
 from quern.operators.facts import small_frame
-from quern.operators.quantiles import agg_row, order_statistics, quantiles
+from quern.operators.quantiles import quantiles
+from quern.operators.ranks import ranked
 
 SAMPLE = 800
 SEED = 42
@@ -82,22 +83,19 @@ def grouped(df: DataFrame, category: str, number: str, top: int = 15) -> DataFra
 def missingness_grid(df: DataFrame, chunks: int = 60, order_by: str | None = None) -> DataFrame:
     """VIZ-3: share of NULL per column in consecutive slices of max(1, rows // chunks) rows.
 
-    Slices need row numbers, and numbering a table in one window would put it in one task. With `order_by` (a unique
-    number) the slice borders are exact order statistics, and each row finds its slice by comparing with at most
-    2 x chunks borders. Without it, rows are numbered by scan position: partition sizes first, then an offset each."""
+    Slices need row numbers, and numbering a table in one window would put it in one task. With `order_by`, a column of any
+    type, rows are ranked by a sort by ranges, of the key and a flag for each column; rows of equal keys share their slices in
+    any order. Without it, rows are numbered by scan position: partition sizes first, then an offset each."""
     rows = df.count()
     size = max(1, rows // chunks)
+    flags = [f"{q(c)} IS NULL AS {q(c)}" for c in df.columns]
     if not rows:
-        numbered = df.selectExpr("*", "0L AS slice")
+        numbered = df.selectExpr("0L AS slice", *flags)
     elif order_by:
-        key = as_double(order_by, families(df)[order_by])
-        starts = list(range(size, rows, size))
-        at = order_statistics(df, {"k": (key, starts)}, {"k": rows})["k"] if starts else {}
-        borders = ", ".join(double(at[s]) for s in starts)
-        place = f"cast(size(filter(array({borders}), b -> b <= {key})) AS bigint)" if starts else "0L"
-        numbered = df.selectExpr("*", f"{place} AS slice")
+        keyed = df.selectExpr(f"{q(order_by)} AS __key", f"struct({', '.join(flags)}) AS __flags")
+        numbered = ranked(keyed, [], [F.col("__key").asc_nulls_first()]).selectExpr(f"rank DIV {size}L AS slice", "__flags.*")
     else:
-        tagged = df.selectExpr("*", "monotonically_increasing_id() AS __id", "spark_partition_id() AS __part")
+        tagged = df.selectExpr("monotonically_increasing_id() AS __id", "spark_partition_id() AS __part", f"struct({', '.join(flags)}) AS __flags")
         sizes = tagged.groupBy("__part").count().orderBy("__part").collect()
         offsets, total = [], 0
         for r in sizes:
@@ -105,9 +103,8 @@ def missingness_grid(df: DataFrame, chunks: int = 60, order_by: str | None = Non
             total += r["count"]
         import pyarrow as pa
         table = small_frame(df.sparkSession, offsets, [("__part", pa.int32()), ("__offset", pa.int64())])
-        numbered = tagged.join(F.broadcast(table), "__part").selectExpr(
-            *[q(c) for c in df.columns], f"(__offset + (__id & {2**33 - 1}L)) div {size}L AS slice")
-    pcts = [F.expr(f"avg(cast({q(c)} IS NULL AS int)) * 100").alias(c) for c in df.columns]
+        numbered = tagged.join(F.broadcast(table), "__part").selectExpr(f"(__offset + (__id & {2**33 - 1}L)) div {size}L AS slice", "__flags.*")
+    pcts = [F.expr(f"avg(cast({q(c)} AS int)) * 100").alias(c) for c in df.columns]
     return (numbered.groupBy("slice").agg(F.count("*").alias("__n"), *pcts)
             .selectExpr(f"slice * {size}L AS row_start", f"slice * {size}L + __n AS row_end",
                         *[q(c) for c in df.columns]))

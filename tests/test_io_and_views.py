@@ -158,6 +158,10 @@ def test_missingness_slices_agree(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "m"))
     keyed = charts.missingness_grid(df, 60, "id").orderBy("row_start").collect()
     assert len(keyed) == 63 and keyed[-1]["row_end"] == 1000
+    far = df.selectExpr("9007199254740992 + id AS id", "x")   # keys that doubles cannot tell apart
+    assert [tuple(r) for r in charts.missingness_grid(far, 60, "id").drop("id").orderBy("row_start").collect()] == [(r["row_start"], r["row_end"], r["x"]) for r in keyed]
+    named = df.selectExpr("lpad(cast(id AS string), 9, '0') AS id", "x")
+    assert [tuple(r) for r in charts.missingness_grid(named, 60, "id").drop("id").orderBy("row_start").collect()] == [(r["row_start"], r["row_end"], r["x"]) for r in keyed]
     by_position = charts.missingness_grid(df, 60).agg(F.sum(F.col("row_end") - F.col("row_start")), F.count("*")).first()
     assert tuple(by_position) == (1000, 63)
 
