@@ -125,6 +125,19 @@ def test_mixture_holds_in_every_sequence(spark):
     assert sum(p.length for p in even) == sum(p.length for p in pieces)
 
 
+def test_large_sources_keep_their_queues_among_many(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    draw = random.Random(5)
+    rows = [(i, " ".join("abcdefgh"[draw.randint(0, 7)] for _ in range(99)), ["big", None, f"tiny{i % 30}"][min(i % 10 // 4, 2)]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    source = {r[0]: r[2] for r in rows}
+    pieces = packing.pack(docs, BPE, sequence=500).collect()
+    assert sum(p.length for p in pieces) == 300 * 100
+    for s in range(max(p.sequence_id for p in pieces)):
+        for name in ("big", None):
+            assert abs(sum(p.length for p in pieces if p.sequence_id == s and source[p.doc_id] == name) - 200) <= 1
+
+
 def test_deal_serves_every_queue_to_the_end():
     draw = np.random.default_rng(1)
     for _ in range(200):
