@@ -231,7 +231,8 @@ SELECT 'events' AS "table", 'event_id' AS "column", count(DISTINCT event_id) > 0
 UNION ALL SELECT 'events', 'user_id', count(DISTINCT user_id) > 0.85 * count(*) FROM events
 UNION ALL SELECT 'labels', 'doc_id', count(DISTINCT doc_id) > 0.85 * count(*) FROM labels
 UNION ALL SELECT 'conversations', 'conv_id', count(DISTINCT conv_id) > 0.85 * count(*) FROM conversations
-UNION ALL SELECT 'customer', 'c_custkey', count(*) < 0 FROM customer UNION ALL SELECT 'customer', 'c_name', count(*) < 0 FROM customer)"""
+UNION ALL SELECT 'customer', 'c_custkey', count(DISTINCT c_custkey) > 0.85 * count(*) AND regexp_matches('c_custkey', '(^|_)(id|key|uuid)(_|$)') FROM customer
+UNION ALL SELECT 'customer', 'c_name', count(DISTINCT c_name) > 0.98 * count(*) AND NOT regexp_matches('c_name', '(^|_)name(_|$)') FROM customer)"""
 O["prf_07_ordinal"] = GAPS + """ord AS (SELECT DISTINCT lower(trim(tier)) AS w FROM gaps)
 SELECT 'tier' AS "column", string_agg(w, ' < ' ORDER BY CASE w WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS ordinal_order FROM ord"""
 _STATS = ", ".join(r6(e, n) for e, n in (
@@ -424,7 +425,8 @@ sum(CAST(count(*) AS DOUBLE)) OVER () AS n, sum(CAST(count(*) AS DOUBLE)) OVER (
 O["tgt_04_mutual_information"] = _DOCS + " " + _mi("", "d", "lang", "toxic") + " UNION ALL " + _mi("", "d", "source", "toxic")
 O["tgt_05_leakage"] = """WITH t AS (SELECT l_linestatus, CAST(l_linestatus = 'O' AS INT) AS copy, l_returnflag FROM lineitem)
 SELECT 'copy' AS feature, abs(corr(copy, CAST(l_linestatus = 'O' AS INT))) >= 0.95 AS leakage_risk FROM t
-UNION ALL SELECT 'l_returnflag', false FROM (SELECT count(*) FROM t)"""
+UNION ALL SELECT feature, mi >= 0.9 OR mi >= 0.95 * h FROM (""" + _mi("", "t", "l_returnflag", "l_linestatus") + """) AS m,
+(SELECT -sum(p * ln(p)) AS h FROM (SELECT CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS p FROM t GROUP BY l_linestatus)) AS e"""
 O["tgt_06_ranking"] = _DOCS + ", m AS (" + _mi("", "d", "lang", "toxic") + " UNION ALL " + _mi("", "d", "source", "toxic") + """)
 SELECT row_number() OVER (ORDER BY mi DESC) AS rank, feature, mi AS score FROM m"""
 
@@ -434,7 +436,7 @@ SELECT c AS "column", 'min' AS "check", lo AS bound FROM s UNION ALL SELECT c, '
 O["con_02_violations"] = f"""WITH gaps AS ({EVENTS_GAPS}) SELECT * FROM (
 SELECT 'value' AS "column", 'not_null' AS "check", CAST(count_if(value IS NULL) AS BIGINT) AS violations FROM gaps
 UNION ALL SELECT 'value', 'min', CAST(count_if(value < (SELECT min(value) FROM events)) AS BIGINT) FROM gaps
-UNION ALL SELECT 'event_type', 'isin', CAST(0 AS BIGINT) FROM (SELECT count(*) FROM gaps)
+UNION ALL SELECT 'event_type', 'isin', CAST(count_if(event_type NOT IN (SELECT event_type FROM events)) AS BIGINT) FROM gaps
 UNION ALL SELECT 'props', 'not_null', count(*) FROM gaps)"""
 O["con_02_failing_rows"] = GAPS + "z AS (SELECT 1) SELECT event_id FROM gaps WHERE value IS NULL"
 
@@ -465,5 +467,5 @@ O["dif_01_cell_status"] = GAPS + """c AS (SELECT 'value' AS "column", CASE WHEN
 UNION ALL SELECT 'kind', CASE WHEN kind IS NULL THEN 'imputed' ELSE 'normal' END FROM gaps UNION ALL SELECT 'tier', CASE WHEN tier <> trim(tier) THEN 'modified' ELSE 'normal' END FROM gaps
 UNION ALL SELECT 'extra', 'new' FROM gaps) SELECT "column", status, count(*) AS cells FROM c GROUP BY ALL"""
 O["dif_02_column_diff"] = GAPS + """z AS (SELECT 1) SELECT 'value' AS "column", 'kept' AS change, CAST(count_if(value IS NULL) AS BIGINT) AS missing_before, CAST(0 AS BIGINT) AS missing_after FROM gaps
-UNION ALL SELECT 'kind', 'dropped', CAST(count_if(kind IS NULL) AS BIGINT), NULL FROM gaps UNION ALL SELECT 'extra', 'created', NULL, CAST(0 AS BIGINT) FROM (SELECT count(*) FROM gaps)"""
+UNION ALL SELECT 'kind', 'dropped', CAST(count_if(kind IS NULL) AS BIGINT), NULL FROM gaps UNION ALL SELECT 'extra', 'created', NULL, CAST(count_if(event_type NOT IN (SELECT event_type FROM events)) AS BIGINT) FROM gaps"""
 O["dif_03_row_search"] = "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') OR contains(lower(p_type), 'red')"
