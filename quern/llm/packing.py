@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.ship import ship
 from quern.llm.exchange import cut, slices
-from quern.llm.memory import lean
+from quern.llm.memory import lean, release
 from quern.llm.tokens import WordEncoder
 
 MAX_QUEUES = 1024  # of more sources, the half of this number with the most text keep their own queues and the others share the rest
@@ -131,8 +131,9 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     pa.array(np.full(len(rows), part), pa.int32()), rows["queue"], rows["doc_id"], flat.cast(pa.binary()), pa.array(np.diff(at)),
                     pa.array(begin, pa.int64()), pa.array(np.full(len(rows), ids.itemsize), pa.int32())],
                     names=["part", "queue", "doc_id", "ids", "n", "begin", "width"])
+            release()
 
-    encoded = cut(own.mapInArrow(lean(encode), f"part int, queue string, doc_id {kind.simpleString()}, ids binary, n long, begin long, width int"))
+    encoded = cut(own.mapInArrow(encode, f"part int, queue string, doc_id {kind.simpleString()}, ids binary, n long, begin long, width int"))
     sums = encoded.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     starts = sums.select("part", "queue", (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     queues = sorted(((r["queue"], r["n"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or ""))

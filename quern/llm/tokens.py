@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from quern.llm.words import buffer, words
 
-CACHE = 150_000  # words, and parts of words, whose ids a worker remembers; never more, also within a batch
+CACHE = 200_000  # words, and parts of words, whose ids a worker remembers; never more, also within a batch
 # The pre-tokenizer whose parts are known here: letters, single digits and the rest, but for contractions with "'".
 KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[!-&(-~\xdf-\xf6\xf8-\xff]+")
@@ -59,7 +59,7 @@ class WordEncoder:
         data, offsets = buffer(texts)
         hashes, first, last, at = words(data, offsets)
         keys, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.ids) + min(len(keys), CACHE // 2) > CACHE:   # a batch of common words still finds room
+        if len(self.ids) >= CACHE:
             self.ids.clear()
         known = [self.ids.get(k) for k in keys.tolist()]
         new = [i for i, v in enumerate(known) if v is None]
