@@ -63,13 +63,14 @@ def _sequences(ids: np.ndarray, fresh: np.ndarray, n: int) -> np.ndarray:
 
 def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) -> DataFrame:
     """Inner join with a table of unique keys. Rows of `table` that are hot, which no more than a few thousand can be, are broadcast;
-    the other keys, each with a small share of the rows, are joined by shuffle."""
+    the other keys, each with a small share of the rows, are joined by shuffle. The rows are read by both joins, so their lineage is
+    cut before and after."""
     few = table.where(hot).select(*keys, F.struct(*(c for c in table.columns if c not in keys)).alias("met"))
     rest = table.where(~hot)
     tried = rows.join(F.broadcast(few), keys, "left")
     others = [c for c in table.columns if c not in keys]
     ready = tried.where("met IS NOT NULL").select(*rows.columns, *(F.col(f"met.{c}").alias(c) for c in others))
-    return ready.unionByName(tried.where("met IS NULL").drop("met").join(rest, keys).select(*rows.columns, *others))
+    return X.cut(ready.unionByName(tried.where("met IS NULL").drop("met").join(rest, keys).select(*rows.columns, *others)))
 
 
 def _dealt(table: pa.Table, n_buckets: int):
@@ -138,7 +139,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     most = (answers.where("block = -1").groupBy("bucket").agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0] or 0) + 1
     frequent = answers.where("block = -1").select("bucket", "lang", F.explode(F.arrays_zip("ids", "words", "f")).alias("w")).select(
         (F.col("bucket").cast("long") * most + F.col("w.ids")).alias("id"), "lang", F.col("w.words").alias("word"), F.col("w.f").alias("f"))
-    frequent = X.cut(_lookup(frequent, spoken, ["lang"], F.col("n") > total // HOT))
+    frequent = _lookup(frequent, spoken, ["lang"], F.col("n") > total // HOT)
     bits = max(1, (n_shards * most).bit_length())
 
     def numbered(table: pa.Table, reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +246,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     counts = known.select(F.array("id").alias("part"), "f").unionByName(phrases.where(F.size("ids") < longest).select(F.col("ids").alias("part"), F.col("a").alias("f")))
     counts = X.cut(counts)
     inner = (phrases.where(F.size("ids") > 2).select(F.explode(F.array(F.expr("slice(ids, 1, size(ids) - 1)"), F.expr("slice(ids, 2, size(ids) - 1)"))).alias("ids"), "a").distinct())
-    left = phrases.join(inner, ["ids", "a"], "left_anti")
+    left = X.cut(phrases.join(inner, ["ids", "a"], "left_anti"))
     hot = F.col("f") > total // HOT
     parted = (left.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)))
               .withColumn("part", F.slice("ids", F.lit(1), F.col("k"))))
@@ -255,7 +256,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     parted = _lookup(parted, spoken, ["id"], hot).drop("f")
     big = lambda c: F.col(c).cast("decimal(38,0)")
     parted = parted.withColumn("top", F.lit(1000).cast("decimal(38,0)") * big("a") * big("n")).withColumn("low", big("l") * big("r")).withColumn("score", F.expr("top div low"))
-    best = parted.groupBy("ids", "a", "lang", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    best = X.cut(parted.groupBy("ids", "a", "lang", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")))
     spelled = best.select("*", F.posexplode("ids").alias("at", "id"))
     spelled = (_lookup(spelled, known.select("id", "word", "f"), ["id"], hot)
                .groupBy("ids", "a", "lang", "n", "cut").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase")))
