@@ -75,7 +75,9 @@ def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) ->
 
 def _dealt(table: pa.Table, n_buckets: int):
     """The words of a block: every word's entry; and of each entry (a word in a language) the bucket, language and word in the order
-    in which buckets are asked, with the edges of runs of one bucket and language."""
+    in which buckets are asked, with the edges of runs of one bucket and language. A block is dealt anew for each answer, and its rows
+    may then come in another order; they are sorted first, so that an answer finds the entries where the question had them."""
+    table = table.sort_by([("lang", "ascending"), ("text", "ascending")])
     codes, found, fresh, at = _words(table["text"])
     spoken, names = _languages(table["lang"])
     pairs, entry, counts = np.unique(codes * len(names) + np.repeat(spoken, np.diff(at)), return_inverse=True, return_counts=True)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -63,6 +64,24 @@ def test_collocations_of_hard_texts(spark):
     assert collocations.collocations(docs, least=10 ** 6).count() == 0
 
 
+def test_collocations_of_blocks_whose_rows_come_in_another_order_each_time(odd, monkeypatch):
+    deal = exchange.blocks
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.random.default_rng().permutation(batch.num_rows)))
+
+    def blocks(docs, columns, n):
+        dealt = deal(docs, columns, n)
+        return dealt.mapInArrow(shuffled, dealt.schema)
+
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", 30000)
+    monkeypatch.setattr(exchange, "blocks", blocks)
+    docs = odd.withColumnRenamed("source", "lang")
+    got = collocations.collocations(docs, least=3).select(*ORDER).collect()
+    assert sorted(map(tuple, got)) == phrases([(r.lang, r.text) for r in docs.select("lang", "text").collect()], 3)
+
+
 @pytest.mark.parametrize(("n", "bits"), [(2, 1), (2, 15), (4, 16), (5, 15), (5, 13), (3, 21), (5, 26), (5, 40), (3, 64)])
 @pytest.mark.parametrize("shard_bits", [0, 1, 2])
 def test_filters_lose_nothing(n, bits, shard_bits):
