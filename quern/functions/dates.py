@@ -10,7 +10,12 @@ from quern.functions.text import strip
 # The shapes that count as a date, anchored at the start of the trimmed text.
 DATE_SHAPE = r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})"
 DMY = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})(?!\d)(.*)$"
-YMD = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)(.*)$"
+# The same shapes and year-first ones as alternatives of one pattern; the last takes any other text. Groups that took no part are empty.
+YEAR_FIRST = r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)(.*)$"
+YEAR_LAST = r"[-/.](\d{2}|\d{4})(?!\d)(.*)$"
+MONTH_FIRST = (rf"^(?:{YEAR_FIRST}|(\d{{1,2}})[-/.](\d{{1,2}}){YEAR_LAST}|(?s:.*))", "$1$7-$2$5-$3$6$4$8")
+DAY_FIRST = (rf"^(?:{YEAR_FIRST}|(\d{{1,2}})[-/.](1[3-9]|[2-9]\d){YEAR_LAST}|(\d{{1,2}})[-/.](\d{{1,2}}){YEAR_LAST}|(?s:.*))",
+             "$1$7$11-$2$5$10-$3$6$9$4$8$12")
 OFFSET = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -34,31 +39,20 @@ def first_field(s: str) -> str:
 
 def offset_minutes(c: str) -> str:
     """UTC offset written in the text, in minutes; NULL when there is none."""
-    zone = f"nullif(regexp_extract({c}, {text(OFFSET)}, 1), '')"
-    digits = f"replace({zone}, ':', '')"
-    minutes = f"(cast(substring({digits}, 2, 2) AS int) * 60 + cast(substring({digits}, 4, 2) AS int))"
-    return (f"CASE WHEN {zone} = 'Z' THEN 0 WHEN {zone} LIKE '-%' THEN -{minutes} "
-            f"WHEN {zone} IS NOT NULL THEN {minutes} END")
+    found = f"replace(replace(regexp_extract({c}, {text(OFFSET)}, 1), 'Z', '+0000'), ':', '')"   # hours x 100 + minutes
+    clock = f"try_cast({found} AS int)"
+    return f"(CASE WHEN contains({c}, ':') THEN cast({clock} - {clock} div 100 * 40 AS int) END)"
 
 
 def parse_date(c: str, day_first: bool = False, to_utc: bool = False) -> str:
     """ISO-like text is always read year-first. d/m/y text follows `day_first`, unless its second field can only be a
     day. `to_utc` shifts values that carry an offset to UTC (for columns that mix offsets). Bad text becomes NULL."""
     s = strip(c)
-
-    def part(pattern: str, i: int) -> str:
-        return f"regexp_extract({s}, {text(pattern)}, {i})"
-
-    a, b, y, rest = (part(DMY, i) for i in (1, 2, 3, 4))
-    year = (f"CASE WHEN length({y}) = 2 THEN concat(CASE WHEN {y} < '69' THEN '20' ELSE '19' END, {y}) "
-            f"WHEN length({y}) = 4 THEN {y} END")
-    if day_first:
-        order = (f"CASE WHEN cast({b} AS int) > 12 THEN concat({a}, '-', {b}) ELSE concat({b}, '-', {a}) END")
-    else:
-        order = f"concat({a}, '-', {b})"
-    ymd = f"concat({part(YMD, 1)}, '-', {part(YMD, 2)}, '-', {part(YMD, 3)}, {part(YMD, 4)})"
-    iso = (f"CASE WHEN {s} RLIKE {text(YMD)} THEN {ymd} "
-           f"WHEN {s} RLIKE {text(DMY)} THEN concat({year}, '-', {order}, {rest}) END")
+    shape, order = DAY_FIRST if day_first else MONTH_FIRST
+    # each call nests in the next, so a text is matched once: to y-m-d and the rest, then a year of two digits gets its century
+    iso = f"regexp_replace({s}, {text(shape)}, {text(order)})"
+    for years, century in (("[0-5]\\d|6[0-8]", "20"), ("\\d\\d", "19")):
+        iso = f"regexp_replace({iso}, {text(f'^(?=(?:{years})-)')}, '{century}')"
     wall = f"try_cast({iso} AS timestamp_ntz)"
     if to_utc:
         return f"({wall} - make_interval(0, 0, 0, 0, 0, coalesce({offset_minutes(s)}, 0), 0))"
