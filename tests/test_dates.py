@@ -25,7 +25,7 @@ def test_every_text_is_matched_once(spark):
 def test_profile_aggregates_read_parsed_dates(spark, monkeypatch):
     asked, run = [], P.agg_row
     monkeypatch.setattr(P, "agg_row", lambda df, expressions: asked.extend(expressions) or run(df, expressions))
-    df = spark.createDataFrame([(f"{d}/01/2024 10:20+0{d % 2}:00",) for d in range(1, 29)], "when_text string")
+    df = spark.createDataFrame([(f"{d}/01/2024 10:20:00+0{d % 2}:00",) for d in range(1, 29)], "when_text string")
     c = P.profile(df).columns["when_text"]
     assert c.is_date_text and c.day_first and c.mixed_offsets and c.has_time
     assert (c.min_date, c.max_date) == ("2024-01-01 09:20:00", "2024-01-28 10:20:00")
