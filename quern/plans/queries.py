@@ -25,7 +25,7 @@ from quern.operators.inference import infer, recommendations_df
 from quern.operators.repair import RepairPlan, RepairPlanner
 from quern.operators.rules import RULES, RuleBase, resolve, rule_log_df, statuses
 from quern.operators.score import health_df
-from quern.plans.views import load
+from quern.plans.views import VIEWS, load
 from quern.sources import scan as S
 from quern.sources import sinks
 
@@ -50,7 +50,7 @@ def once(spark: SparkSession, key: tuple, make: Callable[[], object]):
 
 
 def facts(spark, sf, view):
-    return once(spark, ("facts", sf, view), lambda: P.profile(load(spark, sf, view), persist=True))
+    return once(spark, ("facts", sf, view), lambda: P.profile(load(spark, sf, view), persist=view in VIEWS))
 
 
 def facts_frame(spark, sf, view):

@@ -44,3 +44,13 @@ def test_jobs_release_their_staging(spark, shared, tmp_path, capsys):
     assert jobs.main(["clean", str(path), "-o", str(tmp_path / "out.parquet")], spark) == 0
     assert "written" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "out.parquet")).count() == 7
     assert not [f for f in files(shared) if "staging-" in f]
+
+
+def test_tables_as_they_lie_are_not_kept_whole_for_their_profile(spark, monkeypatch):
+    from quern.plans import queries as Q
+    kept = {}
+    monkeypatch.setattr(Q.P, "profile", lambda df, persist=False: kept.setdefault(df.columns[0], persist))
+    for name in ("lineitem", "orders_dirty"):
+        Q.facts(spark, "/root/testdata/sf0.001", name)
+    Q._memo.clear()
+    assert kept == {"l_orderkey": False, "order_id": True}
