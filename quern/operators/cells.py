@@ -13,8 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.memory import release
+
 SAMPLE = 40_000          # vectors that the cuts are drawn from; they set the cells, every vector is placed
-AT_ONCE = 4_000_000      # distances to boxes computed at once
+AT_ONCE = 250_000        # distances to boxes computed at once, each in a few arrays of doubles
 MIXED = 0
 
 
@@ -102,7 +104,10 @@ class Cells:
 
         @F.pandas_udf("int")
         def cell(x: pd.Series) -> pd.Series:
-            return pd.Series(tree.place(np.array(x.tolist(), float).reshape(-1, width)))
+            try:
+                return pd.Series(tree.place(np.array(x.tolist(), float).reshape(-1, width)))
+            finally:
+                release()
         return cell(vec)
 
     def bounds(self, vectors: np.ndarray) -> np.ndarray:
@@ -113,9 +118,10 @@ class Cells:
             x, low, high = vectors[:, j, None], self.low[None, :, j], self.high[None, :, j]
             both = ~np.isnan(x) & ~np.isnan(low)
             gap = np.where(both, np.maximum(0.0, np.maximum(low - x, x - high)), 0.0)
-            total += gap * gap
+            gap *= gap
+            total += gap
             shared += both
-            least = np.where(both, np.minimum(least, gap * gap), least)
+            np.minimum(least, gap, out=least, where=both)
         with np.errstate(divide="ignore", invalid="ignore"):
             exact = np.where(shared > 0, np.sqrt(self.width / shared * total), np.inf)
         # in the mixed cell a donor may share any of the features, at best the one with the least gap alone
@@ -134,6 +140,7 @@ class Cells:
                 tied = bound == bound.min(axis=1, keepdims=True)
                 best = np.argmax(np.where(tied, me.counts[None, :], -1), axis=1)
                 out.append(np.where(np.isfinite(bound[np.arange(len(bound)), best]), me.cells[best], -1))
+            release()
             return pd.Series(np.concatenate(out) if out else np.zeros(0, int)).astype("int32")
         return cell(vec)
 
@@ -150,5 +157,6 @@ class Cells:
                 bound = me.bounds(vectors[a:a + step])
                 near = np.isfinite(bound) & (bound <= r[a:a + step, None]) & (me.cells[None, :] != own[a:a + step, None])
                 out += [me.cells[line].tolist() for line in near]
+            release()
             return pd.Series(out, dtype=object)
         return cells(vec, reach, but)

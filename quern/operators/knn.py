@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.lineage import cut
+from quern.functions.memory import release
 from quern.functions.ship import ship
 from quern.functions.names import double, q
 from quern.functions.types import as_double, families
@@ -36,7 +37,7 @@ from quern.operators.quantiles import agg_row
 CELL_ROWS = 4_000        # donors a cell aims for
 BLOCK_DONORS = 50_000    # donors compared at once in one task
 BLOCK_ROWS = 20_000      # searching rows of one task
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 250_000  # distances computed at once, each in a few arrays of doubles
 
 
 def nearest_in_block(rows: np.ndarray, donors: np.ndarray, values: np.ndarray, k: int
@@ -51,7 +52,8 @@ def nearest_in_block(rows: np.ndarray, donors: np.ndarray, values: np.ndarray, k
         for j in range(width):
             gap = part[:, j, None] - donors[None, :, j]
             both = ~np.isnan(gap)
-            total += np.where(both, gap * gap, 0.0)
+            gap *= gap
+            np.add(total, gap, out=total, where=both)
             shared += both
         with np.errstate(divide="ignore", invalid="ignore"):
             dist = np.where(shared > 0, np.sqrt(width / shared * total), np.inf)
@@ -190,8 +192,11 @@ class KnnFill:
             out = [(np.full(len(ix), a[i]), np.full(len(ix), b[i]), d, values[ix], counts[ix])
                    for i, ix, d in nearest_in_block(np.stack(rows["vec"].to_numpy()),
                                                     np.stack(near["vec"].to_numpy()), values, k)]
-            return pd.DataFrame({n: np.concatenate([o[j] for o in out])
+            best = pd.DataFrame({n: np.concatenate([o[j] for o in out])
                                  for j, n in enumerate(("h1", "h2", "dist", "val", "cnt"))})
+            del out
+            release()
+            return best
 
         keys = ["visit", "block", "chunk"]
         return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
